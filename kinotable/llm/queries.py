@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kinotable.llm import decontaminate, simhash
+from kinotable.llm import decontaminate, packing, simhash, tokencount
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_simhash": simhash,
+    "op9_token_counts": tokencount,
+    "op10_packing": packing,
 }
 
 
