@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kinotable.llm import decontaminate, packing, simhash, tokencount
+from kinotable.llm import decontaminate, langid, packing, simhash, tokencount, topk
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_simhash": simhash,
+    "op3_language_id": langid,
+    "op4_topk": topk,
     "op9_token_counts": tokencount,
     "op10_packing": packing,
 }
