@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinotable.llm import decontaminate, langid, packing, simhash, tokencount, topk
+from kinotable.llm import decontaminate, langid, licenses, packing, pii, simhash, tokencount, topk
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_simhash": simhash,
     "op3_language_id": langid,
     "op4_topk": topk,
+    "op6_pii": pii,
+    "op7_licenses": licenses,
     "op9_token_counts": tokencount,
     "op10_packing": packing,
 }
