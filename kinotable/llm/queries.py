@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from kinotable.llm import decontaminate, langid, licenses, packing, pii, simhash, tokencount, topk
+from kinotable.llm import decontaminate, langid, licenses, lmscore, packing, pii, sharding, simhash, tokencount, topk
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_simhash": simhash,
     "op3_language_id": langid,
     "op4_topk": topk,
+    "op5_lm_score": lmscore,
     "op6_pii": pii,
     "op7_licenses": licenses,
+    "op8_sharding": sharding,
     "op9_token_counts": tokencount,
     "op10_packing": packing,
 }
