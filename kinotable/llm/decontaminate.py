@@ -191,7 +191,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_shar
     # the bytes between spans, with a line break where a span was
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("spans")["end_byte"])
     starts = F.concat(F.col("spans")["byte"], F.array(F.octet_length(raw).cast("long")))
-    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), F.lit("UTF-8")))
+    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8"))
     text = F.when(F.size("spans") == 0, F.col("row")["text"]).otherwise(F.array_join(parts, "\n"))
     out = found.where((F.size("spans") == 0) | (hit < drop_share * F.col("n_words"))).select(text.alias("text"), "row", (F.size("spans") > 0).alias("cut"))
     return out.select(*(F.col("text") if n == "text" else F.when(F.col("cut"), F.length("text").cast(docs.schema[n].dataType)).otherwise(F.col("row")[n]).alias(n) if n == "n_chars" else F.col("row")[n].alias(n) for n in names))
