@@ -40,11 +40,9 @@ MOST_WORDS = 4096
 PHRASES = [("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license"))]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_IN, _OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+# what is between words, and word characters of either case; written out one by one, as such a class is one table lookup
+_OUT = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]"
+_IN = "[^" + _OUT[1:]
 
 
 def need(size: int, threshold: float = THRESHOLD) -> int:
@@ -56,10 +54,24 @@ def _strings(values: list[str]) -> Column:
     return F.lit(list(values)).cast("array<string>") if values else F.array().cast("array<string>")
 
 
+def any_of(words: list[str]) -> str:
+    """Pattern of these words (lower-case, ASCII) as whole words, by common beginnings, so that a place is tried once for each letter."""
+
+    def tree(rests: list[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for r in rests:
+            if r:
+                by.setdefault(r[0], []).append(r[1:])
+        inner = "|".join(c + tree(by[c]) for c in sorted(by))
+        return inner and f"(?:{inner}){'?' if '' in rests else ''}"
+
+    return f"(?<!{_IN}){tree(sorted(set(words)))}(?!{_IN})"
+
+
 def frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[str, int]:
     """Texts of docs(text) that hold each template word."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), words_of(F.col("text")))).alias("w"))
+    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), F.regexp_extract_all(F.lower("text"), F.lit(f"{_IN}++"), F.lit(0)))).alias("w"))
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
@@ -113,9 +125,12 @@ def scan(docs: DataFrame, keep: list[str] = (), templates: list[tuple[str, str]]
     """
     index = Index(templates, frequencies(docs, templates), threshold)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), text.alias("t"), words_of(text).alias("w"))
-    may = F.arrays_overlap("w", _strings(sorted(index.prefix)))
-    rows = rows.select("kept", F.size("w").cast("long").alias("n_words"), F.when(F.array_contains("w", "license"), F.col("t")).alias("t"), F.when(may, F.col("w")).alias("w"))
+    # one letter for each word: a text without words, which the pattern leaves as it is, has none
+    marks = F.regexp_replace(text, F.lit(f"{_OUT}*+{_IN}++{_OUT}*+"), F.lit("w"))
+    rows = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), text.alias("t"), F.lower(text).alias("lower"), marks.alias("marks"))
+    n_words = F.when(F.col("marks").rlike(f"^{_OUT}*+$"), 0).otherwise(F.length("marks")).cast("long").alias("n_words")
+    may = F.col("lower").rlike(any_of(sorted(index.prefix)))
+    rows = rows.select("kept", n_words, F.when(F.contains("lower", F.lit("license")), F.col("t")).alias("t"), F.when(may, F.regexp_extract_all("lower", F.lit(f"{_IN}++"), F.lit(0))).alias("w"))
     pieces = lambda words: F.when(F.col("t").isNotNull(), F.split("t", _phrase(words), -1))
     rows = rows.select("kept", "n_words", "w", *(pieces(words).alias(f"p_{label}") for label, words in PHRASES))
     count = lambda piece: F.regexp_count(piece, F.lit(f"{_IN}+"))
