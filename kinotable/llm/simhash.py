@@ -26,6 +26,8 @@ from kinotable.llm import _text
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+#: Comparisons of two fingerprints that take as long as a row of the join.
+COMPARISONS = 50
 #: Text bytes that are shingled at once; the words at the seams are carried over.
 CHUNK = 4 << 20
 
@@ -76,18 +78,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def segments(n: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
-    """(lowest bit, bits, radius) of each segment: of the ways to cut, the one with the least rows asked for and met among n fingerprints."""
+    """(lowest bit, bits, radius) of each segment: of the ways to cut, the one with the least work for n fingerprints, counting a row asked for or held as COMPARISONS comparisons."""
     ways = []
     for m in range(min(2, distance + 1), max(2, distance) + 1):
         spare = distance - m + 1
         widths = [64 // m + (k < 64 % m) for k in range(m)]
         radii = [spare // m + (k < spare % m) for k in range(m)]
-        probes = [sum(comb(w, k) for k in range(r + 1)) for w, r in zip(widths, radii, strict=True)]
-        cost = n * sum(probes) + sum(n * n * p / 2**w for w, p in zip(widths, probes, strict=True))
-        ways.append((cost, [(sum(widths[:k]), widths[k], radii[k]) for k in range(m)]))
+        asked, held = ([sum(comb(w, k) for k in range(half + 1)) for w, half in zip(widths, halves, strict=True)] for halves in zip(*map(_halves, radii), strict=True))
+        work = n * (sum(asked) + sum(held)) * COMPARISONS + sum(n * n * a * h / 2**w for w, a, h in zip(widths, asked, held, strict=True))
+        ways.append((work, [(sum(widths[:k]), widths[k], radii[k]) for k in range(m)]))
     return min(ways)[1]
 
 
+def _halves(radius: int) -> tuple[int, int]:
+    """Radii of the balls around the values asked for and around those in the table."""
+    return (radius + 1) // 2, radius // 2
+
+
 def ball(width: int, radius: int) -> list[int]:
     """Masks of at most `radius` of `width` bits."""
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
@@ -98,23 +105,31 @@ def _part(fp: Column, low: int, width: int) -> Column:
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, cut: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """Pairs u < v of the distinct fingerprints in column fp that differ in at most `distance` bits, each once."""
+    """Pairs u < v of the distinct fingerprints in column fp that differ in at most `distance` bits, each once.
+
+    A segment's radius is met half way: both sides list a ball, that of the table being the smaller one, and the pair
+    counts at the value between them that has the lowest of the differing bits on the asking side.
+    """
     cut = cut or segments(fps.count(), distance)
-    key = lambda k, value: F.struct(F.lit(k).alias("s"), value.alias("key"))
-    table = fps.select(F.col("fp").alias("v"), F.explode(F.array(*(key(k, _part(F.col("fp"), low, w)) for k, (low, w, _) in enumerate(cut)))).alias("at"))
 
-    def around(k: int, low: int, width: int, radius: int) -> Column:
-        return F.transform(F.lit(ball(width, radius)).cast("array<bigint>"), lambda m: key(k, _part(F.col("fp"), low, width).bitwiseXOR(m)))
+    def around(name: str, side: int) -> DataFrame:
+        def keys(k: int, low: int, width: int, radius: int) -> Column:
+            masks = F.lit(ball(width, _halves(radius)[side])).cast("array<bigint>")
+            return F.transform(masks, lambda m: F.struct(F.lit(k).alias("s"), _part(F.col("fp"), low, width).bitwiseXOR(m).alias("key")))
+
+        return fps.select(F.col("fp").alias(name), F.explode(F.concat(*(keys(k, *x) for k, x in enumerate(cut)))).alias("at"))
 
-    asked = F.concat(*(around(k, *x) for k, x in enumerate(cut)))
-    probe = fps.select(F.col("fp").alias("u"), F.explode(asked).alias("at"))
     diff = F.col("u").bitwiseXOR(F.col("v"))
-    earlier, first = F.lit(False), F.lit(False)  # first: no segment before this one has the pair too
-    for k, (low, w, r) in enumerate(cut):
-        first = first | ((F.col("t.at.s") == k) & ~earlier)
-        earlier = earlier | (F.bit_count(_part(diff, low, w)) <= r)
+    earlier, here = F.lit(False), F.lit(False)  # here: no segment before has the pair too, and it counts at this value
+    for k, (low, width, radius) in enumerate(cut):
+        own, between, rest = _part(diff, low, width), F.lit(0).cast("bigint"), _part(diff, low, width)
+        for _ in range(_halves(radius)[0]):
+            lowest = rest.bitwiseAND(-rest)
+            between, rest = between.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
+        here = here | ((F.col("t.at.s") == k) & ~earlier & (F.col("p.at.key").bitwiseXOR(_part(F.col("u"), low, width)) == between))
+        earlier = earlier | (F.bit_count(own) <= radius)
     same = (F.col("p.at.s") == F.col("t.at.s")) & (F.col("p.at.key") == F.col("t.at.key"))
-    return probe.alias("p").join(table.alias("t"), same & (F.col("u") < F.col("v")) & (F.bit_count(diff) <= distance) & first).select("u", "v")
+    return around("u", 0).alias("p").join(around("v", 1).alias("t"), same & (F.col("u") < F.col("v")) & (F.bit_count(diff) <= distance) & here).select("u", "v")
 
 
 def stars(edges: DataFrame) -> DataFrame:
