@@ -17,6 +17,7 @@ from kinotable.operators import kernels
 from kinotable.sources import boxes as box_scan
 from kinotable.sources.boxes import MAX_ENTRIES, MAX_SAMPLES
 from kinotable.sources.config import parse_stsd
+from kinotable.sources.shared import settled
 
 SAMPLES = ["file", "track_id", "kind", "timescale", "sample_no", "offset", "size", "pts", "dts", "duration", "is_key", "fragment_seq"]
 _HUGE = (1 << 63) - 1
@@ -225,26 +226,31 @@ def _fragmented(boxes: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFra
     return s.withColumn("fragment_seq", F.col("seq")), broken.where("violation IS NOT NULL")
 
 
-def decode(boxes: DataFrame, mode: str = "permissive") -> Media:
-    """Tracks, samples and violations of scanned boxes. mode: permissive, or failfast, where reading samples of a file with a violation is an error."""
+def decode(boxes: DataFrame, mode: str = "permissive", settle: bool = True) -> Media:
+    """Tracks, samples and violations of scanned boxes. Boxes, tracks and samples, which are metadata alone, are written to the shared folder on the way, so that files are read and tables decoded once, unless settle is false. mode: permissive, or failfast, where reading samples of a file with a violation is an error."""
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
-    tracks = _tracks(boxes)
+    keep = settled if settle else lambda df: df
+    if settle:
+        boxes = settled(boxes).repartition("file")
+    tracks = keep(_tracks(boxes))
     sound = tracks.where("violation IS NULL")
     media = sound.where(F.col("handler").isin("vide", "soun"))
     progressive, (fragmented, broken) = _progressive(media), _fragmented(boxes, sound)
+    kind = F.when(F.col("handler") == "vide", "video").otherwise("audio").alias("kind")
+    found = progressive.select("*", kind).select(*SAMPLES, "violation").unionByName(fragmented.select("*", kind).select(*SAMPLES, "violation"))
+    found = keep(found.where("sample_no IS NOT NULL OR violation IS NOT NULL"))
     top = boxes.groupBy("file").agg(F.count(F.when((F.col("type") == "moov") & (F.col("depth") == 0), 1)).alias("moov"), F.max("violation").alias("violation"))
     wrong = [
         top.select("file", F.coalesce("violation", F.when(F.col("moov") == 0, "moov_missing").when(F.col("moov") > 1, "moov_repeated")).alias("violation")),
-        tracks.select("file", "violation"), progressive.select("file", "violation"), fragmented.select("file", "violation"), broken,
+        tracks.select("file", "violation"), found.select("file", "violation"), broken,
         media.groupBy("file", "handler").count().where("count > 1").select("file", F.concat(F.when(F.col("handler") == "vide", "video").otherwise("audio"), F.lit("_tracks")).alias("violation")),
     ]
     every = wrong[0]
     for w in wrong[1:]:
         every = every.unionByName(w)
-    violations = every.where("violation IS NOT NULL").select("file", F.col("violation").alias("code")).distinct()
-    kind = F.when(F.col("handler") == "vide", "video").otherwise("audio").alias("kind")
-    rows = progressive.withColumn("kind", kind).select(SAMPLES).unionByName(fragmented.withColumn("kind", kind).select(SAMPLES)).where("sample_no IS NOT NULL")
+    violations = keep(every.where("violation IS NOT NULL").select("file", F.col("violation").alias("code")).distinct())
+    rows = found.where("sample_no IS NOT NULL").select(SAMPLES)
     shown = media.select("file", "track_id", kind, F.col("timescale").cast("int").alias("timescale"), "config.video", "config.audio")
     if mode == "failfast":
         first = violations.groupBy("file").agg(F.min("code").alias("__code"))
