@@ -85,7 +85,7 @@ def _walk(file: str, data: memoryview) -> Iterator[tuple]:
             rows.append(row)
     except Malformed as broken:
         rows.append((file, *[None] * 11, len(data), str(broken)))
-    yield from rows
+    yield from rows or [(file, *[None] * 11, len(data), "moov_missing")]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

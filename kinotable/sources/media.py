@@ -244,7 +244,7 @@ def decode(boxes: DataFrame, mode: str = "permissive", settle: bool = True) -> M
     wrong = [
         top.select("file", F.coalesce("violation", F.when(F.col("moov") == 0, "moov_missing").when(F.col("moov") > 1, "moov_repeated")).alias("violation")),
         tracks.select("file", "violation"), found.select("file", "violation"), broken,
-        media.groupBy("file", "handler").count().where("count > 1").select("file", F.concat(F.when(F.col("handler") == "vide", "video").otherwise("audio"), F.lit("_tracks")).alias("violation")),
+        tracks.where(F.col("handler").isin("vide", "soun")).groupBy("file", "handler").count().where("count > 1").select("file", F.concat(F.when(F.col("handler") == "vide", "video").otherwise("audio"), F.lit("_tracks")).alias("violation")),
     ]
     every = wrong[0]
     for w in wrong[1:]:
