@@ -26,8 +26,12 @@ from kinotable.llm import _text
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+#: Of the wider groups of near_duplicates(): distances beyond DISTANCE, least similarity, and words of a shingle.
+NEAR_DISTANCES, NEAR_SIMILARITY, NEAR_SHINGLE = (7, 10), 0.8, 5
 #: Comparisons of two fingerprints that take as long as a row of the join.
 COMPARISONS = 50
+#: Ids that may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: Text bytes that are shingled at once; the words at the seams are carried over.
 CHUNK = 4 << 20
 
@@ -80,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def segments(n: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
     """(lowest bit, bits, radius) of each segment: of the ways to cut, the one with the least work for n fingerprints, counting a row asked for or held as COMPARISONS comparisons."""
     ways = []
-    for m in range(min(2, distance + 1), max(2, distance) + 1):
+    for m in range(min(2, distance + 1), min(4, max(2, distance)) + 1):
         spare = distance - m + 1
         widths = [64 // m + (k < 64 % m) for k in range(m)]
         radii = [spare // m + (k < spare % m) for k in range(m)]
@@ -167,14 +171,64 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     return fps.join(_text.settled(ids), "fp").select("doc_id", "fp", "component_id")
 
 
-def distinct(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; of rows that repeat this doc_id, any one. Rows without doc_id stay, as nothing tells them apart."""
-    found = components(docs, shingle, distance)
-    kept = found.where("doc_id = component_id").groupBy("component_id").agg(F.count("*").alias("n"))
-    kept = _text.settled(kept.select(F.col("component_id").alias("kept_id"), "n"))
-    once = docs.join(kept.where("n = 1"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    more = docs.join(kept.where("n > 1"), docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where(docs["doc_id"].isNull()))
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = []
+        for t in batch.column("text").cast(pa.large_binary()):
+            grams, last, short = set(), [], []
+            for words in _chunks(t.as_py() or b""):
+                w = last + words
+                grams.update(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[k:] for k in range(NEAR_SHINGLE)))), repeat(SEED)))
+                last, short = w[-(NEAR_SHINGLE - 1) :], w if len(w) < NEAR_SHINGLE else short
+            sets.append(np.fromiter(grams or {xxhash.xxh64_intdigest(b" ".join(short), SEED)}, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+
+
+def _similar(pairs: DataFrame, heads: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose heads' texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words."""
+    pairs = _text.settled(pairs)
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(heads.select("fp", "rep"), "fp")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(asked, "rep").dropDuplicates(["fp"])
+    sets = _text.settled(texts.select("fp", "text").mapInArrow(_shingle_sets, "fp long, grams array<long>"))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, distances: tuple[int, ...] = NEAR_DISTANCES, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of each row of docs(doc_id, text), groups being wider than those of components().
+
+    First come the links of components(), whose groups then stand behind one head each, the text with most copies. Then,
+    distance by distance, heads whose fingerprints are that near are compared by their shingle sets, and join if they are
+    similar. So a dense group shrinks to its head before wider balls are searched, and no pairs within it are listed.
+    """
+    fps = _text.settled(fingerprints(docs))
+    heads = _text.settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    label = heads.select("fp", F.col("fp").alias("head"))
+    for distance in (DISTANCE, *distances):
+        found = links(heads.select("fp"), distance)
+        roots = stars(found if distance == DISTANCE else _similar(found, heads, docs, similarity))
+        tied = _text.settled(roots.union(roots.select(F.col("v").alias("u"), "v").distinct()))
+        merged = heads.join(tied, F.col("fp") == F.col("u")).groupBy("v").agg(
+            F.max(F.struct("copies", (-F.col("rep")).alias("n"), "fp", "rep")).alias("top"), F.min("least").alias("least"), F.sum("copies").alias("copies")
+        )
+        merged = _text.settled(merged.select("v", "top.fp", "top.rep", "least", "copies"))
+        moved = tied.join(merged.select("v", F.col("fp").alias("to")), "v").select(F.col("u").alias("head"), "to")
+        label = _text.settled(label.join(moved, "head", "left").select("fp", F.coalesce("to", "head").alias("head")))
+        heads = _text.settled(heads.join(tied.select(F.col("u").alias("fp")), "fp", "left_anti").unionByName(merged.drop("v")))
+    ids = label.join(heads.select(F.col("fp").alias("head"), "least"), "head").select("fp", F.col("least").alias("component_id"))
+    return fps.join(_text.settled(ids), "fp").select("doc_id", "component_id")
+
+
+def distinct(docs: DataFrame, distances: tuple[int, ...] = NEAR_DISTANCES, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near_duplicates(), that of the smallest doc_id; of rows that repeat this doc_id, any one. Rows without doc_id stay, as nothing tells them apart."""
+    found = near_duplicates(docs, distances, similarity).where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
+    ids = _text.settled(ids.where("stays = 0 OR n > 1").select(F.col("doc_id").alias("other_id"), "stays"))
+    # few ids are told to every task, so that texts needn't be shuffled; more are joined
+    small = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    rest = docs.join(small, docs["doc_id"] == F.col("other_id"), "left_anti")
+    return rest.unionByName(docs.join(small.where("stays = 1"), docs["doc_id"] == F.col("other_id"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
