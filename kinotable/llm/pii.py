@@ -39,15 +39,27 @@ NEARBY, REACH = 0.2, 40
 _RUN = 256
 
 
-def starts(lengths: Column) -> Column:
-    """Exclusive prefix sums of an integer array, in two levels, so that a long array isn't copied once for each element."""
-    def sums(values: Column, first: Column) -> Column:
-        return F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def _running(values: Column, first: Column, add) -> Column:
+    """For each element what add() makes of `first` and the elements before it; in two levels, so that a long array isn't copied once for each element."""
+    def let(value: Column, use) -> Column:  # evaluated once, not in each step of what uses it
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def within(part: Column, begin: Column) -> Column:
+        return F.aggregate(part, F.array(begin), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda b: F.slice(lengths, b * _RUN + 1, F.lit(_RUN)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-    firsts = sums(totals, F.lit(0).cast("long"))
-    return F.flatten(F.transform(blocks, lambda b, k: F.slice(sums(b, F.get(firsts, k)), F.lit(1), F.size(b))))
+    def filled(blocks: Column) -> Column:
+        begins = within(F.transform(blocks, lambda b: F.aggregate(b, first, add)), first)
+        return let(begins, lambda starts: F.flatten(F.transform(blocks, lambda b, k: F.slice(within(b, F.get(starts, k)), F.lit(1), F.size(b)))))
+
+    return let(values, lambda v: let(cut(v), filled))
+
+
+def starts(lengths: Column) -> Column:
+    """Sums of the lengths before each."""
+    return _running(F.transform(lengths, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def _digits(m: Column) -> Column:
@@ -78,26 +90,31 @@ def confirmed(kind: str, m: Column) -> Column:
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
-def _found(kind: str) -> Column:
-    """Confirmed spans of one kind from columns m_ (matches) and p_ (pieces between them)."""
+def _places(kind: str, size) -> Column:
+    """Where the pieces of one kind begin, in what size() measures."""
     m, p = F.col(f"m_{kind}"), F.col(f"p_{kind}")
-    at = starts(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda a, b: F.length(a) + F.length(b)))
+    return starts(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda a, b: size(a) + size(b)))
+
+
+def _found(kind: str) -> Column:
+    """Confirmed spans of one kind from columns m_ (matches), p_ (pieces between them), a_ and b_ (where pieces begin)."""
+    p = F.col(f"p_{kind}")
 
     def span(x: Column, k: Column) -> Column:
         near = F.concat(F.right(F.get(p, k), F.lit(REACH)), F.lit(" "), F.left(F.get(p, k + 1), F.lit(REACH)))
+        start, byte = F.get(F.col(f"a_{kind}"), k) + F.length(F.get(p, k)), F.get(F.col(f"b_{kind}"), k) + F.octet_length(F.get(p, k))
         return F.struct(
-            (F.get(F.col(f"a_{kind}"), k) + F.length(F.get(p, k))).alias("start"), F.lit(list(PATTERNS).index(kind)).alias("order"),
-            (F.get(F.col(f"a_{kind}"), k) + F.length(F.get(p, k)) + F.length(x)).alias("end"), F.lit(kind).alias("kind"),
+            start.alias("start"), F.lit(list(PATTERNS).index(kind)).alias("order"), (start + F.length(x)).alias("end"), byte.alias("byte"), (byte + F.octet_length(x)).alias("end_byte"), F.lit(kind).alias("kind"),
             (F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)).alias("score"), confirmed(kind, x).alias("ok"),
         )
 
-    return at, F.filter(F.transform(m, span), lambda s: s["ok"])
+    return F.filter(F.transform(f"m_{kind}", span), lambda s: s["ok"])
 
 
 def find(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """`keep` columns of docs(text) and pii: the confirmed spans of each row by start, then kind as listed: start, order, end, kind, score, ok.
+    """`keep` columns of docs(text) and pii: the confirmed spans of each row by start, then kind as listed: start, order, end, byte, end_byte, kind, score, ok.
 
-    Places are code points, end exclusive. A null or empty text has none. Matches of one kind don't overlap; those of
+    start and end are code points, byte and end_byte bytes of UTF-8, ends exclusive. A null or empty text has none. Matches of one kind don't overlap; those of
     different kinds can. Repeated rows and null ids each get their row. No name in `keep` may be pii.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -107,8 +124,9 @@ def find(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     match = {k: F.when(F.contains("t", F.lit(NEEDED[k])), x).otherwise(none) if k in NEEDED else x for k, x in match.items()}
     rows = rows.select("kept", "t", *(match[k].alias(f"m_{k}") for k in kinds))
     rows = rows.select("kept", *(f"m_{k}" for k in kinds), *(F.when(F.size(f"m_{k}") > 0, F.split("t", PATTERNS[k], -1)).otherwise(none).alias(f"p_{k}") for k in kinds))
-    rows = rows.select("*", *(F.when(F.size(f"m_{k}") > 0, _found(k)[0]).alias(f"a_{k}") for k in kinds))
-    spans = [F.when(F.size(f"m_{k}") > 0, _found(k)[1]).otherwise(F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,score:double,ok:boolean>>")) for k in kinds]
+    rows = rows.select("*", *(F.when(F.size(f"m_{k}") > 0, _places(k, f)).alias(f"{x}_{k}") for k in kinds for x, f in (("a", F.length), ("b", F.octet_length))))
+    empty = F.array().cast("array<struct<start:bigint,order:int,end:bigint,byte:bigint,end_byte:bigint,kind:string,score:double,ok:boolean>>")
+    spans = [F.when(F.size(f"m_{k}") > 0, _found(k)).otherwise(empty) for k in kinds]
     return rows.select(*(F.col("kept")[c].alias(c) for c in keep), F.array_sort(F.concat(*spans)).alias("pii"))
 
 
@@ -120,15 +138,17 @@ def redacted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """docs with each span that scores at least `min_score` replaced by its kind in angle brackets; overlapping spans become one, named by the first. Rows, columns and null texts stay; n_chars follows the text if it is there."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = find(packed, keep=["row"]).select("row", F.filter("pii", lambda s: s["score"] >= min_score).alias("s"))
-    # spans that start inside an earlier one add to it: ends as running maxima
-    ends = F.transform("s", lambda s, k: F.array_max(F.transform(F.slice("s", F.lit(1), k + 1), lambda x: x["end"])))
-    found = found.select("row", "s", F.when(F.size("s") > 0, ends).alias("e"))
-    lead = F.filter(F.transform("s", lambda s, k: F.struct(s["start"].alias("a"), s["kind"].alias("kind"), ((k == 0) | (s["start"] >= F.get("e", k - 1))).alias("first"), k.alias("k"))), lambda x: x["first"])
-    found = found.select("row", "e", F.when(F.size("s") > 0, lead).alias("l"))
-    until = lambda k: F.get("e", F.coalesce(F.get(F.col("l"), k + 1)["k"], F.size("e")) - 1)  # noqa: E731  the end of the k-th of the merged spans
-    own = F.col("row")["text"]
-    kept = F.transform("l", lambda x, k: F.concat(F.substr(own, (F.when(k == 0, F.lit(0)).otherwise(until(k - 1)) + 1).cast("int"), (x["a"] - F.when(k == 0, F.lit(0)).otherwise(until(k - 1))).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-    text = F.concat(F.array_join(kept, ""), F.substr(own, (until(F.size("l") - 1) + 1).cast("int")))
+    # the end of all spans before each; those that start before it add to what is merged so far
+    before = _running(F.transform("s", lambda s: s["end_byte"]), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+    found = found.select("row", "s", F.when(F.size("s") > 0, before).alias("e"))
+    lead = F.filter(F.transform("s", lambda s, k: F.struct(s["byte"].alias("a"), s["kind"].alias("kind"), F.get("e", k).alias("e"))), lambda x: x["a"] >= x["e"])
+    last = F.greatest(F.element_at("e", -1), F.element_at("s", -1)["end_byte"])
+    found = found.select("row", F.when(F.size("s") > 0, lead).alias("l"), F.when(F.size("s") > 0, last).alias("last"), F.encode(F.col("row")["text"], "UTF-8").alias("raw"))
+    own, raw = F.col("row")["text"], F.col("raw")
+    cut = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
+    # what stands before each merged span begins where those before it have ended
+    kept = F.transform("l", lambda x: F.concat(cut(x["e"], x["a"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    text = F.concat(F.array_join(kept, ""), cut(F.col("last"), F.octet_length(raw)))
     new = found.select("row", F.when(F.size("l") > 0, text).otherwise(own).alias("text"), (F.size("l") > 0).alias("cut"))
     return new.select(*(F.col("text") if c == "text" else F.when(F.col("cut"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
