@@ -115,7 +115,7 @@ def _scanner(block, carry: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = block.value
-        for batch in batches:
+        for batch in _text.parts(batches):
             data, offsets = _text.utf8(batch.column("text"))
             n_words = np.zeros(batch.num_rows, np.int64)
             ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)

@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        for batch in batches:
+        for batch in _text.parts(batches):
             texts = batch.column("__text")
             data, offsets = _text.utf8(texts)
             pred, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]

@@ -55,7 +55,7 @@ def encoded(docs: DataFrame, target: DataFrame, path: str | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = packing.Encoder(*sent.value)
-        for batch in batches:
+        for batch in _text.parts(batches):
             ids = [np.frombuffer(encode(t.as_py()), encode.dtype).astype("<u4").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
 

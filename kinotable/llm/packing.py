@@ -31,7 +31,7 @@ DIMENSIONS, BITS = 4, 7
 #: Id bytes that a partition of the curve is meant to hold, before the session's number of shuffle partitions.
 PARTITION_BYTES = 48 << 20
 #: Words whose ids a task remembers, and the longest such word.
-REMEMBER, REMEMBER_CHARS = 600_000, 64
+REMEMBER, REMEMBER_CHARS = 250_000, 64
 
 #: Fixed value: the pattern of byte-level pre-tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,7 +166,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
         encode = Encoder(*sent.value)
         end = np.array([end_id], encode.dtype).tobytes()
         directions = projection(encode.tokenizer.get_vocab_size(with_added_tokens=True))
-        for batch in batches:
+        for batch in _text.parts(batches):
             ids = [encode(t.as_py()) + end for t in batch.column("text")]
             means = np.array([directions[np.frombuffer(x, encode.dtype)[:-1]].mean(0) if len(x) > len(end) else np.zeros(DIMENSIONS) for x in ids], np.float64).reshape(-1, DIMENSIONS)
             points = np.clip((means * 1.5 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
