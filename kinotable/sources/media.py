@@ -6,6 +6,8 @@ of `violations`; a file with one has no tracks and no samples.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -226,11 +228,29 @@ def _fragmented(boxes: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFra
     return s.withColumn("fragment_seq", F.col("seq")), broken.where("violation IS NOT NULL")
 
 
+@contextmanager
+def _keyed_by_file(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: rows that lie together by file needn't be dealt anew for joins by file and more."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def decode(boxes: DataFrame, mode: str = "permissive", settle: bool = True) -> Media:
     """Tracks, samples and violations of scanned boxes. Boxes, tracks and samples, which are metadata alone, are written to the shared folder on the way, so that files are read and tables decoded once, unless settle is false. mode: permissive, or failfast, where reading samples of a file with a violation is an error."""
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
-    keep = settled if settle else lambda df: df
+
+    def keep(df: DataFrame) -> DataFrame:
+        if not settle:
+            return df
+        with _keyed_by_file(df.sparkSession):
+            return settled(df)
+
     if settle:
         boxes = settled(boxes).repartition("file")
     tracks = keep(_tracks(boxes))
