@@ -316,6 +316,6 @@ def test_scan_limits():
         list(boxes.children(memoryview(struct.pack(">I4sQ", 1, b"free", 1 << 63)), 0, 16))
 
 
-def test_sample_reference_counts(spark, inputs):
+def test_bytes_are_numbered(spark, inputs):
     samples, _ = mux.encode(*inputs, "progressive")
     assert samples.groupBy("file").agg(F.max("physical_no")).collect()[0][1] == 5
