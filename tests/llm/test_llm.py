@@ -297,9 +297,9 @@ def test_pii_long_runs(spark):
 
 
 def test_pii_checks_and_context(spark):
-    rows = [("DE89 3704 0044 0532 0130 00",), ("DE88 3704 0044 0532 0130 00",), ("GB82WEST12345698765432",)]
-    df = spark.createDataFrame(rows, "text string")
-    assert [len(r.pii) for r in pii.find(df.select("text")).select("pii").collect()] == [1, 0, 1]
+    rows = [("DE89 3704 0044 0532 0130 00 Please pay",), ("DE88 3704 0044 0532 0130 00",), ("GB82WEST12345698765432 OK",), ("NO93 8601 1117 947",), ("xDE89370400440532013000",)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    assert [len(r.pii) for r in pii.find(df.select("text")).select("pii").collect()] == [1, 0, 1, 1, 0]
     scores = [r.pii[0].score for r in pii.find(spark.createDataFrame([("phone: +1 234 555 1234",), ("xx +1 234 555 1234",)], "text string").coalesce(1)).collect()]
     assert scores == pytest.approx([0.8, 0.6])
 
