@@ -176,3 +176,29 @@ def brute(text: str | None) -> list[tuple[int, int, int, str]]:
         return kind == "email" or 10 <= len(d) <= 15
 
     return sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(plain.items()) for m in re.finditer(p, text or "") if good(kind, m[0]))
+
+
+def _sql() -> str:
+    # boundaries of letters and digits: as \b once no underscore is left
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b"}
+    kinds = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {n} AS ord, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d" for n, (k, p) in enumerate(plain.items()))
+    total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda v: length(v))), 0)"
+    join = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '_', '%') AS t FROM documents),
+m AS ({kinds}),
+s AS (SELECT r, kind, ord, m[i] AS x, ({total("p[1:i]")} + {total("m[1:i - 1]")})::BIGINT AS start, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, replace(m[i], ' ', '') AS compact
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+ok AS (SELECT r, kind, ord, start, start + length(x) AS stop FROM s WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(try_cast(v AS BIGINT), 0) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INTEGER ELSE reverse(digits)[i]::INTEGER * 2 - CASE WHEN reverse(digits)[i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(compact[5:] || compact[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INTEGER), lambda a, b: (a * 10 + b) % 97) = 1
+  ELSE true END),
+g AS (SELECT r, {counts}, {join.format(f" FILTER (ord < {len(BASE)})")} AS base, {join.format("")} AS spans FROM ok GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL = _sql()
