@@ -61,6 +61,17 @@ def box_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("file").cast("bigint").alias("file"), "type").agg(F.count("*").alias("boxes"), F.sum("size").alias("bytes"))
 
 
+def box_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track fragments and headers in the movie fragments of each file, by selecting children, firsts and only ones."""
+    found = settled(boxes.scan(_files(spark, sf_dir, "fragmented")))
+    moofs = boxes.of_type(found, "moof")
+    inside = boxes.children_of(found, moofs)
+    only, wrong = boxes.exactly_one(found, moofs, "mfhd")
+    parts = [inside.select("file", F.col("type").alias("what")), boxes.first_of(inside, "traf").select("file", F.lit("first traf").alias("what")), only.select("file", F.lit("only mfhd").alias("what")), wrong.select("file", F.col("code").alias("what"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy(F.col("file").cast("bigint").alias("file"), "what").agg(F.count("*").alias("n"))
+
+
 _IN = f"""{SAMPLES},
 seen AS (SELECT *, max(is_key::INT) OVER (PARTITION BY file ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS s FROM samples),
 put AS (SELECT file, sample_id, kind, is_key, event_type || (size - 1)::VARCHAR AS text, duration * {UNIT} AS duration, ((coalesce(sum(duration) OVER (PARTITION BY file ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * {UNIT})::BIGINT AS put_at FROM seen WHERE s = 1),
@@ -77,11 +88,13 @@ SQL = {
     "mux_demux_fragmented": f"WITH {_IN} SELECT file, kind, sample_no, size, dts, duration, kind = 'audio' OR is_key AS is_key FROM placed",
     "track_summary": f"WITH {_IN} SELECT file, kind, count(*)::BIGINT AS samples, count(*) FILTER (kind = 'audio' OR is_key)::BIGINT AS key_samples, sum(duration)::BIGINT AS duration, sum(size)::BIGINT AS bytes FROM sized GROUP BY file, kind",
     "nal_delivery": f"WITH {_IN} SELECT file, row_number() OVER (PARTITION BY file ORDER BY dts, kind DESC, sample_no)::INTEGER AS delivery_no, kind, text, dts AS dts_ticks, duration AS duration_ticks FROM placed",
+    "box_children": f"""WITH {_IN}, m AS (SELECT file, f, count(DISTINCT kind) AS tracks FROM frag GROUP BY file, f)
+SELECT file, 'traf' AS what, sum(tracks)::BIGINT AS n FROM m GROUP BY file UNION ALL SELECT file, unnest(['mfhd', 'first traf', 'only mfhd']), count(*) FROM m GROUP BY file""",
     "box_layout": f"""WITH {_IN}, m AS (SELECT file, f, sum(size) + 8 AS mdat, 24 + 64 * count(DISTINCT kind) + 16 * count(*) AS moof FROM frag GROUP BY file, f)
 SELECT file, 'mdat' AS type, count(*)::BIGINT AS boxes, sum(mdat)::BIGINT AS bytes FROM m GROUP BY file UNION ALL SELECT file, 'moof', count(*), sum(moof)::BIGINT FROM m GROUP BY file""",
 }
 
 QUERIES = {
     "mux_demux_progressive": _samples("progressive"), "mux_demux_faststart": _samples("faststart"), "mux_demux_fragmented": _samples("fragmented"),
-    "track_summary": track_summary, "nal_delivery": nal_delivery, "box_layout": box_layout,
+    "track_summary": track_summary, "nal_delivery": nal_delivery, "box_layout": box_layout, "box_children": box_children,
 }

@@ -106,3 +106,28 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def scan(found: DataFrame) -> DataFrame:
     """Boxes of files(file, content), partitioned by file; what breaks the structure of a file is a row with a violation."""
     return found.select("file", "content").mapInArrow(_scan, SCHEMA).repartition("file")
+
+
+def of_type(boxes: DataFrame, kind: str) -> DataFrame:
+    """Boxes of one type."""
+    return boxes.where(F.col("type") == kind)
+
+
+def children_of(boxes: DataFrame, parents: DataFrame) -> DataFrame:
+    """Boxes that lie directly in one of `parents`."""
+    keys = parents.select("file", F.col("start").alias("parent_start")).distinct()
+    return boxes.join(keys, ["file", "parent_start"], "left_semi").select(boxes.columns)
+
+
+def first_of(boxes: DataFrame, kind: str) -> DataFrame:
+    """The first box of a type in each parent that has one."""
+    own = of_type(boxes, kind)
+    return own.groupBy("file", "parent_start").agg(F.min_by(F.struct(*own.columns), "ordinal").alias("b")).select("b.*")
+
+
+def exactly_one(boxes: DataFrame, parents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The box of a type in each parent that has just one, and violations(file, code) of the parents that have none or more."""
+    own = of_type(boxes, kind).groupBy("file", "parent_start").agg(F.count("*").alias("n"), F.min_by(F.struct(*boxes.columns), "ordinal").alias("b"))
+    found = parents.select("file", F.col("start").alias("parent_start")).distinct().join(own, ["file", "parent_start"], "left")
+    wrong = found.where("n IS NULL OR n > 1").select("file", F.when(F.col("n").isNull(), f"{kind}_missing").otherwise(f"{kind}_repeated").alias("code")).distinct()
+    return found.where("n = 1").select("b.*"), wrong
