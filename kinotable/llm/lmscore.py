@@ -43,7 +43,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    for lo, hi in _text.slices(offsets, 4 * _text.SLICE_BYTES):
+    for lo, hi in _text.slices(offsets, 8 * _text.SLICE_BYTES):
         yield lo, hi, data[offsets[lo] : offsets[hi]].view("<u4"), (offsets[lo : hi + 1] - offsets[lo]) // 4
 
 
@@ -94,7 +94,7 @@ def _counter(vocabulary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, size), np.int64)
-        for batch in batches:
+        for batch in _text.parts(batches):
             target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, ids, at in _slices(batch):
                 full = np.diff(at) > 0
@@ -150,7 +150,7 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: Models = sent.value
-        for batch in batches:
+        for batch in _text.parts(batches):
             n, means = np.zeros(batch.num_rows, np.int64), np.full((2, batch.num_rows), np.nan)
             for lo, hi, ids, at in _slices(batch):
                 n[lo:hi] = np.diff(at)

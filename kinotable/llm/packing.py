@@ -31,7 +31,7 @@ DIMENSIONS, BITS = 4, 7
 #: Id bytes that a partition of the curve is meant to hold, before the session's number of shuffle partitions.
 PARTITION_BYTES = 48 << 20
 #: Words whose ids a task remembers, and the longest such word.
-REMEMBER, REMEMBER_CHARS = 250_000, 64
+REMEMBER, REMEMBER_CHARS = 200_000, 64
 
 #: Fixed value: the pattern of byte-level pre-tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,7 +193,7 @@ def _packer(length: int):
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        for batch in batches:
+        for batch in _text.parts(batches):
             out: list[tuple] = []
             size = 0
             for doc, tokens, raw in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids").cast(pa.large_binary()), strict=True):
