@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +67,8 @@ class Encoder:
     def _ids(self, words: list[str]) -> dict[str, bytes]:
         out = {}
         if self.quick:
-            encode, dtype = self.quick.encode_ordinary, self.dtype
-            out = {w: np.array(encode(" " + w), dtype).tobytes() for w in words if len(w) <= REMEMBER_CHARS and (w.isascii() or max(w) < "\u0250")}
+            encode, code = self.quick.encode_ordinary, "H" if self.dtype is np.uint16 else "I"
+            out = {w: array(code, encode(" " + w)).tobytes() for w in words if len(w) <= REMEMBER_CHARS and (w.isascii() or max(w) < "\u0250")}
             words = [w for w in words if w not in out]
         if words:
             out |= {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False), strict=True)}
@@ -83,19 +84,15 @@ class Encoder:
         if any(s in text for s in self.special) or _JOINED_BLANKS.search(text):
             return self._whole(text)
         head, *words = text.split(" ")
-        distinct = set(words)
-        new = list(distinct.difference(self.memo))
-        once: dict[str, bytes] = {}
-        if new:
-            if len(self.memo) + len(new) > REMEMBER:
-                self.memo = {}
-                new = list(distinct)
-            ids = self._ids(new)
-            once = {w: ids.pop(w) for w in new if len(w) > REMEMBER_CHARS}
-            self.memo |= ids
         memo = self.memo
-        parts = map(memo.__getitem__, words) if not once else (once[w] if w in once else memo[w] for w in words)
-        return (self._whole(head) if head else b"") + b"".join(parts)
+        new = list(set(words).difference(memo))
+        if new:
+            memo |= self._ids(new)
+        out = (self._whole(head) if head else b"") + b"".join(map(memo.__getitem__, words))
+        # a full table stays as it is: frequent words came early
+        for w in new if len(memo) > REMEMBER else [w for w in new if len(w) > REMEMBER_CHARS]:
+            del memo[w]
+        return out
 
 
 def quick_merges(spec: str) -> dict[bytes, int] | None:
