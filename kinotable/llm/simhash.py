@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinotable.llm import _text
@@ -26,8 +26,10 @@ from kinotable.llm import _text
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: Of the wider groups of near_duplicates(): distances beyond DISTANCE, least similarity, and words of a shingle.
-NEAR_DISTANCES, NEAR_SIMILARITY, NEAR_SHINGLE = (10,), 0.8, 5
+#: Of the wider groups of near_duplicates(): least similarity, and words of a shingle.
+NEAR_SIMILARITY, NEAR_SHINGLE = 0.8, 5
+#: Texts by which frequent shingles are told, and how many of these at most; both only order the search.
+SAMPLE, FREQUENT = 20_000, 1 << 19
 #: Comparisons of two fingerprints that take as long as a row of the join.
 COMPARISONS = 50
 #: Ids that may be broadcast.
@@ -171,58 +173,144 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     return fps.join(_text.settled(ids), "fp").select("doc_id", "fp", "component_id")
 
 
+def _grams(text: bytes | None) -> np.ndarray:
+    """Sorted hashes of a text's shingles of NEAR_SHINGLE words; those of a shorter text are the one of all its words."""
+    grams, last, short = set(), [], []
+    for words in _chunks(text or b""):
+        w = last + words
+        grams.update(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[k:] for k in range(NEAR_SHINGLE)))), repeat(SEED)))
+        last, short = w[-(NEAR_SHINGLE - 1) :], w if len(w) < NEAR_SHINGLE else short
+    return np.sort(np.fromiter(grams or {xxhash.xxh64_intdigest(b" ".join(short), SEED)}, np.uint64))
+
+
+def _node(grams: np.ndarray) -> int:
+    """A text's node: the hash of its shingle set, as a long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
+
+
+def _least(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares at least with one that is similar to it."""
+    return max(1, ceil(similarity * n - 1e-9))
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about SAMPLE distinct texts have, sorted, and in how many of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.parts(batches):
+            for t in batch.column("text").cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(_grams(t.as_py()).view(np.int64))], ["gram"])
+
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.lit(int(SAMPLE / max(SAMPLE, texts.count()) * (1 << 30)))).dropDuplicates(["text"])
+    found = some.select("text").mapInArrow(run, "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toArrow()
+    grams, counts = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def _keyed(texts: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, fp, node, t (a hash of the text), n (the size of its shingle set) and keys of each row of texts(doc_id, text).
+
+    Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
+    least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
+    leaves what many texts share to those that hold little else.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in _text.parts(batches):
+            fps, nodes, sizes, keys = [], [], [], []
+            for t in batch.column("text").cast(pa.large_binary()):
+                text = t.as_py()
+                grams = _grams(text)
+                at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+                often = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(len(grams), np.int64)
+                first = np.argsort(often, kind="stable")[: len(grams) - _least(len(grams), similarity) + 1]
+                fps.append(fingerprint(text))
+                nodes.append(_node(grams))
+                sizes.append(len(grams))
+                keys.append(grams[first].view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "keys"])
+
+    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, keys array<long>")
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _text.parts(batches):
-        sets = []
-        for t in batch.column("text").cast(pa.large_binary()):
-            grams, last, short = set(), [], []
-            for words in _chunks(t.as_py() or b""):
-                w = last + words
-                grams.update(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[k:] for k in range(NEAR_SHINGLE)))), repeat(SEED)))
-                last, short = w[-(NEAR_SHINGLE - 1) :], w if len(w) < NEAR_SHINGLE else short
-            sets.append(np.fromiter(grams or {xxhash.xxh64_intdigest(b" ".join(short), SEED)}, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
-
-
-def _similar(pairs: DataFrame, heads: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose heads' texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words."""
+        sets = [_grams(t.as_py()) for t in batch.column("text").cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words."""
     pairs = _text.settled(pairs)
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(heads.select("fp", "rep"), "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(asked, "rep").dropDuplicates(["fp"])
-    sets = _text.settled(texts.select("fp", "text").mapInArrow(_shingle_sets, "fp long, grams array<long>"))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "t"), "node").select("t").distinct()
+    wanted = texts.withColumn("t", F.xxhash64("text")).join(asked, "t", "left_semi").dropDuplicates(["t"])
+    sets = _text.settled(wanted.select("text").mapInArrow(_shingle_sets, "node long, grams array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def _united(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and label of labels, where the labels of a pair's nodes are one."""
+    ends = pairs.join(labels.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("b")), "v")
+    roots = stars(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return _text.settled(labels.join(roots, F.col("label") == F.col("u"), "left").select("node", F.coalesce("v", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, distances: tuple[int, ...] = NEAR_DISTANCES, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of its group) of each row of docs(doc_id, text), groups being wider than those of components().
+def near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of each row of docs(doc_id, text).
 
-    First come the links of components(), whose groups then stand behind one head each, the text with most copies. Then,
-    distance by distance, heads whose fingerprints are that near are compared by their shingle sets, and join if they are
-    similar. So a dense group shrinks to its head before wider balls are searched, and no pairs within it are listed.
+    Groups are the components of two kinds of links: those of components(), by fingerprints alone, and all pairs of texts
+    whose shingle sets are similar, however far their fingerprints are. The latter are found by the keys of _keyed() and
+    verified. Dense groups shrink first: the texts of a key are compared to one of them, then those that are in other
+    groups than most texts of their key to all that are in another one.
     """
-    fps = _text.settled(fingerprints(docs))
-    heads = _text.settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    label = heads.select("fp", F.col("fp").alias("head"))
-    for distance in (DISTANCE, *distances):
-        found = links(heads.select("fp"), distance)
-        roots = stars(found if distance == DISTANCE else _similar(found, heads, docs, similarity))
-        tied = _text.settled(roots.union(roots.select(F.col("v").alias("u"), "v").distinct()))
-        merged = heads.join(tied, F.col("fp") == F.col("u")).groupBy("v").agg(
-            F.max(F.struct("copies", (-F.col("rep")).alias("n"), "fp", "rep")).alias("top"), F.min("least").alias("least"), F.sum("copies").alias("copies")
-        )
-        merged = _text.settled(merged.select("v", "top.fp", "top.rep", "least", "copies"))
-        moved = tied.join(merged.select("v", F.col("fp").alias("to")), "v").select(F.col("u").alias("head"), "to")
-        label = _text.settled(label.join(moved, "head", "left").select("fp", F.coalesce("to", "head").alias("head")))
-        heads = _text.settled(heads.join(tied.select(F.col("u").alias("fp")), "fp", "left_anti").unionByName(merged.drop("v")))
-    ids = label.join(heads.select(F.col("fp").alias("head"), "least"), "head").select("fp", F.col("least").alias("component_id"))
-    return fps.join(_text.settled(ids), "fp").select("doc_id", "component_id")
-
-
-def distinct(docs: DataFrame, distances: tuple[int, ...] = NEAR_DISTANCES, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _text.settled(_keyed(texts, similarity))
+    nodes = _text.settled(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("t").alias("t")))
+    roots = stars(links(rows.select("fp").distinct(), DISTANCE))
+    # texts with one shingle set can differ in words' order, hence in fingerprints, which are one group then
+    marked = rows.select("node", "fp").distinct().join(roots, F.col("fp") == F.col("u"), "left").select("node", F.coalesce("v", "fp").alias("fp"))
+    same = marked.groupBy("node").agg(F.min("fp").alias("u"), F.array_distinct(F.collect_list("fp")).alias("fps"))
+    roots = stars(same.select("u", F.explode("fps").alias("v")))
+    labels = _text.settled(same.select("node", F.col("u").alias("fp")).join(roots, F.col("fp") == F.col("u"), "left").select("node", F.coalesce("v", "fp").alias("label")))
+
+    members = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "key"))
+    of_key = Window.partitionBy("key")
+    members = _text.settled(members.withColumn("head", F.min(F.struct("node", "n", "at")).over(of_key)).withColumn("texts", F.count("*").over(of_key)).where("texts > 1").drop("texts"))
+
+    def can(n: Column, at: Column, m: Column, other: Column) -> Column:
+        """Whether sets of n and m that share a key at these places, but none before, can be similar."""
+        return F.least(n - at, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs, each once, that have two labels."""
+        a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
+        return pairs.distinct().join(a, "u").join(b, "v").where("a <> b").select("u", "v")
+
+    first = members.where((F.col("node") != F.col("head.node")) & can(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
+    labels = _united(labels, _similar(apart(first.select(F.col("head.node").alias("u"), F.col("node").alias("v"))), nodes, texts, similarity))
+
+    named = members.drop("head").join(labels, "node")
+    counts = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    named = _text.settled(named.join(counts.where("labels > 1"), "key").drop("labels"))
+    p, t = named.where("label <> most").alias("p"), named.alias("t")
+    cross = (F.col("p.key") == F.col("t.key")) & (F.col("p.label") != F.col("t.label")) & ((F.col("t.label") == F.col("t.most")) | (F.col("p.node") < F.col("t.node")))
+    rest = p.join(t, cross & can(F.col("p.n"), F.col("p.at"), F.col("t.n"), F.col("t.at"))).select(F.least("p.node", "t.node").alias("u"), F.greatest("p.node", "t.node").alias("v")).distinct()
+    labels = _united(labels, _similar(rest, nodes, texts, similarity))
+
+    least = rows.select("doc_id", "node").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ids = _text.settled(labels.join(least, "label").select("node", "component_id"))
+    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+
+
+def distinct(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """docs with one row of each group of near_duplicates(), that of the smallest doc_id; of rows that repeat this doc_id, any one. Rows without doc_id stay, as nothing tells them apart."""
-    found = near_duplicates(docs, distances, similarity).where("doc_id IS NOT NULL")
+    found = near_duplicates(docs, similarity).where("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
     ids = _text.settled(ids.where("stays = 0 OR n > 1").select(F.col("doc_id").alias("other_id"), "stays"))
     # few ids are told to every task, so that texts needn't be shuffled; more are joined

@@ -161,6 +161,27 @@ def test_near_duplicates(spark, docs, none):
     assert left.where("text = 'same text here'").count() == 1 and simhash.distinct(none).count() == 0
 
 
+def shingle_sets(rows):
+    return {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, t.lower().split()) for k, t in rows)}
+
+
+def test_near_duplicates_beyond_ten_bits(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(40):  # pairs of 50 to 120 words, one to three of them changed, so around a similarity of 0.8
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(50, 120))]
+        rows.append((2 * k, " ".join(words)))
+        for at in rnd.sample(range(len(words)), 1 + k % 3):
+            words[at] = f"new{k}"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets, fps = shingle_sets(rows), {k: plain_fingerprint(t) for k, t in rows}
+    bits = {k: (fps[k] ^ fps[k + 1]).bit_count() for k in fps if k % 2 == 0}
+    alike = {k for k in bits if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    assert any(bits[k] > 10 for k in alike) and any(k not in alike and bits[k] > 4 for k in bits)
+    kept = {r.doc_id for r in simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k in fps if k % 2 == 0 or k - 1 not in alike and bits[k - 1] > 4}
+
+
 # language ID
 
 
