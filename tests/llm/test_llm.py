@@ -182,6 +182,40 @@ def test_near_duplicates_beyond_ten_bits(spark):
     assert kept == {k for k in fps if k % 2 == 0 or k - 1 not in alike and bits[k - 1] > 4}
 
 
+def test_near_duplicates_of_members(spark):
+    rnd = random.Random(1)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(300)]
+    rows = []
+    for j in range(700):  # a dense group, in which some are near to other members than the one with most links
+        words = base.copy()
+        for at in rnd.sample(range(300), rnd.randint(1, 5)):
+            words[at] = f"new{rnd.randint(0, 10**9)}"
+        rows.append((j, " ".join(words)))
+    sets = shingle_sets(rows)
+    reached, todo = {0}, [0]
+    while todo:
+        near = {k for k in sets.keys() - reached if len(sets[k] & sets[todo[-1]]) >= 0.8 * len(sets[k] | sets[todo[-1]])}
+        todo = todo[:-1] + sorted(near)
+        reached |= near
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert reached == set(sets) and set(got.values()) == {0}
+
+
+def test_near_duplicates_are_six_groups(spark):
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randint(0, 5000)}" for _ in range(300)] for _ in range(6)]
+    rows = []
+    for k, words in enumerate(base):
+        rows += [(100 * k, " ".join(words)), (100 * k + 1, " ".join(words))]
+        for j in range(2, 12):
+            w = words.copy()
+            for at in rnd.sample(range(300), 1 + j % 3):
+                w[at] = f"new{j}"
+            rows.append((100 * k + j, " ".join(w)))
+    kept = sorted(r.doc_id for r in simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [0, 100, 200, 300, 400, 500]
+
+
 # language ID
 
 
