@@ -4,9 +4,10 @@ Two bigram models share the vocabulary of a public tokenizer, the order, the smo
 counts the labelled texts, the background model counts all texts, scaled to the target's number of tokens. A text's
 score is the mean over its tokens of target loss less background loss; low scores are like the target.
 
-Texts become ids once and are written to the shared folder. Each task counts its ids into tables of fixed size (unigrams
-by id, bigrams by hash), the tables are summed slice by slice over a shuffle that grows with the input, and what comes to
-the driver and goes to the executors is one table of fixed size: 2 x (vocabulary + BIGRAMS) numbers.
+Texts become ids once and are written to the shared folder, in chunks of bounded size. Each chunk's distinct bigrams are
+counted exactly and summed over a shuffle, so the table of bigrams grows with the corpus; a chunk's texts are scored with
+the sums of its own bigrams, which a join brings to it. Only unigram counts, 2 x (vocabulary + 1) numbers, come to the
+driver and go to the executors.
 """
 
 from __future__ import annotations
@@ -15,26 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.llm import _text, packing
 
-#: Buckets of the bigram hash, and numbers in a slice of a table.
-BIGRAMS, SLICE = 1 << 20, 1 << 14
+#: Numbers in a slice of a table, and bytes of ids in a chunk, unless one text alone is longer.
+SLICE, CHUNK = 1 << 14, 4 << 20
 #: Weight of the unigram model behind a bigram, and pseudo-count of each id in it.
 BACKOFF, PSEUDO = 20.0, 0.1
 #: Target ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
 def _keys(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The id before each id (`vocabulary` at a text's start) and the bigram's bucket."""
+    """The id before each id (`vocabulary` at a text's start) and the bigram: both ids in one long."""
     before = np.empty(len(ids), np.uint32)
     before[1:] = ids[:-1]
     before[firsts] = vocabulary
-    mixed = (before.astype(np.uint64) << np.uint64(32) | ids) * np.uint64(0x9E3779B97F4A7C15)
-    return before, (mixed >> np.uint64(64 - (BIGRAMS - 1).bit_length())).astype(np.int64)
+    return before, (before.astype(np.uint64) << np.uint64(32) | ids).view(np.int64)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -48,26 +50,32 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def encoded(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, target (whether the id is among those of target(doc_id)) and ids (binary, unsigned 32-bit little-endian) of docs(doc_id, text)."""
+    """doc_id, target (whether the id is among those of target(doc_id)), chunk and ids (binary, unsigned 32-bit little-endian) of docs(doc_id, text)."""
     with open(path or packing.tokenizer_path()) as f:
         spec = f.read()
     sent = docs.sparkSession.sparkContext.broadcast((spec, packing.quick_merges(spec)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = packing.Encoder(*sent.value)
+        encode, chunk, held = packing.Encoder(*sent.value), TaskContext.get().partitionId() << 32, 0
         for batch in _text.parts(batches):
             ids = [np.frombuffer(encode(t.as_py()), encode.dtype).astype("<u4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
+            chunks = []
+            for x in ids:
+                if held and held + len(x) > CHUNK:
+                    chunk, held = chunk + 1, 0
+                held += len(x)
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(chunks, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "target", "chunk", "ids"])
 
     ids = target.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
-    return rows.mapInArrow(run, "doc_id long, target boolean, ids binary")
+    return rows.mapInArrow(run, "doc_id long, target boolean, chunk long, ids binary")
 
 
 class Models:
-    """Counts of both models: `tables` has (unigrams, bigrams) of all texts, then of the target's."""
+    """Unigram counts of both models: `tables` has those of all texts, then of the target's."""
 
     def __init__(self, tables: list[np.ndarray], vocabulary: int):
         self.vocabulary = vocabulary
@@ -75,22 +83,21 @@ class Models:
         scale = target / total if total and target else 1.0
         self.parts = []
         for counts, by in ((tables[1], 1.0), (tables[0], scale)):
-            uni = counts[: vocabulary + 1] * by  # the last: texts, as what stands before their first id
+            uni = counts * by  # the last: texts, as what stands before their first id
             p = (uni[:vocabulary] + PSEUDO) / (uni[:vocabulary].sum() + PSEUDO * vocabulary)
-            self.parts.append(((BACKOFF * p).astype(np.float32), (uni + BACKOFF).astype(np.float32), (counts[vocabulary + 1 :] * by).astype(np.float32)))
+            self.parts.append(((BACKOFF * p).astype(np.float32), (uni + BACKOFF).astype(np.float32), by))
 
-    def losses(self, ids: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-        """Target's and background's loss of each id, in nats; a hashed bigram counts at most as often as what stands before it."""
+    def losses(self, ids: np.ndarray, firsts: np.ndarray, known: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Target's and background's loss of each id, in nats, by the counts (target's, all) of the sorted bigrams `known`, which has all of these ids."""
         before, keys = _keys(ids, firsts, self.vocabulary)
-        out = []
-        for behind, norm, bigrams in self.parts:
-            n = norm[before]
-            out.append(-np.log((np.minimum(bigrams[keys], n - np.float32(BACKOFF)) + behind[ids]) / n))
+        at, out = np.searchsorted(known, keys), []
+        for (behind, norm, by), n in zip(self.parts, counts, strict=True):
+            out.append(-np.log(((n * by).astype(np.float32)[at] + behind[ids]) / norm[before]))
         return out
 
 
 def _counter(vocabulary: int):
-    size = vocabulary + 1 + BIGRAMS
+    size = vocabulary + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, size), np.int64)
@@ -98,12 +105,10 @@ def _counter(vocabulary: int):
             target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, ids, at in _slices(batch):
                 full = np.diff(at) > 0
-                _, keys = _keys(ids, at[:-1][full], vocabulary)
                 own = np.repeat(target[lo:hi], np.diff(at))
                 for t, of, texts in ((0, slice(None), full), (1, own, full & target[lo:hi])):
                     tables[t, :vocabulary] += np.bincount(ids[of], minlength=vocabulary)
                     tables[t, vocabulary] += texts.sum()
-                    tables[t, vocabulary + 1 :] += np.bincount(keys[of], minlength=BIGRAMS)
         parts = [(t, k, tables[t, k * SLICE : (k + 1) * SLICE]) for t in range(2) for k in range(-(-size // SLICE))]
         parts = [(t, k, x.astype("<i8").tobytes()) for t, k, x in parts if x.any()]
         for at in range(0, len(parts), 64):
@@ -113,6 +118,39 @@ def _counter(vocabulary: int):
     return run
 
 
+def _bigrams(vocabulary: int):
+    """Counts a task's bigrams, chunk by chunk: all, and those of target texts."""
+
+    def summed(chunk: int, pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+        n = [np.bincount(at, np.concatenate([p[k] for p in pieces]), len(keys)).astype(np.int64) for k in (1, 2)]
+        for lo in range(0, len(keys), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), chunk)), *(pa.array(x[part]) for x in (keys, *n))], ["chunk", "key", "n", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []
+        for batch in _text.parts(batches):
+            target, chunks = batch.column("target").to_numpy(zero_copy_only=False).astype(bool), batch.column("chunk").to_numpy()
+            for lo, hi, ids, at in _slices(batch):
+                long = np.diff(at)
+                if not len(ids):
+                    continue
+                _, keys = _keys(ids, at[:-1][long > 0], vocabulary)
+                of, own = np.repeat(chunks[lo:hi], long), np.repeat(target[lo:hi], long)
+                for chunk in np.unique(chunks[lo:hi][long > 0]).tolist():
+                    if chunk != now and pieces:
+                        yield from summed(now, pieces)
+                        pieces = []
+                    now = chunk
+                    distinct, inverse = np.unique(keys[of == chunk], return_inverse=True)
+                    pieces.append((distinct, np.bincount(inverse, minlength=len(distinct)), np.bincount(inverse, own[of == chunk], len(distinct))))
+        if pieces:
+            yield from summed(now, pieces)
+
+    return run
+
+
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -124,11 +162,11 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame, vocabulary: int) -> Models:
-    """Both models from encoded()."""
+    """Both models' unigrams from encoded()."""
     kind = "t int, k int, n binary"
-    size = vocabulary + 1 + BIGRAMS
+    size = vocabulary + 1
     parts = rows.select("target", "ids").mapInArrow(_counter(vocabulary), kind)
-    summed = parts.repartition(2 * -(-size // SLICE) // 4, "t", "k").mapInArrow(_sum, kind)
+    summed = parts.repartition(2 * -(-size // SLICE), "t", "k").mapInArrow(_sum, kind)
     tables = [np.zeros(size), np.zeros(size)]
     for r in summed.toLocalIterator():
         tables[r["t"]][r["k"] * SLICE : (r["k"] + 1) * SLICE] = np.frombuffer(r["n"], "<i8")
@@ -148,21 +186,29 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
     rows = _text.settled(encoded(docs, target, path))
     sent = docs.sparkSession.sparkContext.broadcast(fit(rows, vocabulary))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = _text.settled(rows.select("target", "chunk", "ids").mapInArrow(_bigrams(vocabulary), "chunk long, key long, n long, m long"))
+    sums = _text.settled(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    wanted = parts.select("chunk", "key").join(sums, "key").select("chunk", "key", "n", "m")
+
+    def run(texts: pa.Table, bigrams: pa.Table) -> pa.Table:
         models: Models = sent.value
-        for batch in _text.parts(batches):
+        known, counts, every = bigrams.column("key").to_numpy(), [bigrams.column(k).to_numpy() for k in ("m", "n")], []
+        order = np.argsort(known)
+        known, counts = known[order], [x[order] for x in counts]
+        for batch in texts.to_batches():
             n, means = np.zeros(batch.num_rows, np.int64), np.full((2, batch.num_rows), np.nan)
             for lo, hi, ids, at in _slices(batch):
                 n[lo:hi] = np.diff(at)
                 full = np.flatnonzero(n[lo:hi])
                 if len(full):
-                    for k, loss in enumerate(models.losses(ids, at[:-1][full])):
+                    for k, loss in enumerate(models.losses(ids, at[:-1][full], known, counts)):
                         means[k, lo + full] = np.add.reduceat(loss, at[:-1][full], dtype=np.float64) / n[lo + full]
             none = n == 0
             cols = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            every.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
+        return pa.Table.from_batches(every, RESULT)
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,22 @@ def test_lm_scores_against_brute_force(spark, docs, none):
     assert lmscore.score(docs, target.where("false")).where("score IS NULL AND n_tokens > 0").count() == 0
 
 
+def test_lm_bigrams_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK", 1 << 16, raising=False)
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    v, rnd = tok.get_vocab_size(), random.Random(2)
+    rows = [(k, tok.decode([rnd.randrange(1000, v) for _ in range(400)])) for k in range(1000)]  # far more bigrams than a fixed table tells apart
+    ids = [tok.encode(t, add_special_tokens=False).ids for _, t in rows]
+    uni, bi = Counter(), Counter()
+    for own in ids:
+        uni.update([v, *own])
+        bi.update(zip([v, *own], own, strict=False))
+    total = sum(n for t, n in uni.items() if t != v)
+    want = [np.mean([-np.log((bi[a, b] + lmscore.BACKOFF * (uni[b] + lmscore.PSEUDO) / (total + lmscore.PSEUDO * v)) / (uni[a] + lmscore.BACKOFF)) for a, b in zip([v, *own], own, strict=False)]) for own in ids]
+    got = {r.doc_id: r for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k, _ in rows], "doc_id long")).collect()}
+    assert len(got) == len(rows) and all(got[k].background_loss == pytest.approx(want[k], abs=1e-4) == got[k].target_loss for k, _ in rows)
+
+
 def test_lm_scores_tell_quality(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     means = {r.quality: r.m for r in lmscore.query(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
