@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicate fingerprints."""
+    """Keeps the smallest doc_id of each group of near duplicates: fingerprints within 4 bits (unverified, as in op2), or shingle sets 0.8 similar."""
     return simhash.distinct(docs)
 
 
