@@ -6,16 +6,21 @@ of those code points and some ASCII ones splits bytes exactly as it splits chara
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,11 +55,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts and ends of the words, and the number of words before each text; no word crosses texts."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of the words (runs of the bytes marked in `word`), and the number of words before each text; no word crosses texts."""
     low = LOWER[data]
     inside = np.zeros(len(low) + 2, bool)
-    inside[1:-1] = WORD[low]
+    inside[1:-1] = word[low]
     first = np.zeros(len(low) + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
@@ -98,10 +103,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one for tests if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. On one machine, as in tests, a folder of its own if that is unset; elsewhere an error."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -109,7 +117,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that no later step or lost executor computes them again."""
-    spark = df.sparkSession
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As settled(), with the number of rows, which the writing tasks count."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -18,7 +18,7 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.llm import _text
@@ -30,10 +30,16 @@ SEED = 42
 NEAR_SIMILARITY, NEAR_SHINGLE = 0.8, 5
 #: Texts by which frequent shingles are told, and how many of these at most; both only order the search.
 SAMPLE, FREQUENT = 20_000, 1 << 19
+#: Edges that one task joins.
+EDGES = 1 << 20
 #: Comparisons of two fingerprints that take as long as a row of the join.
 COMPARISONS = 50
 #: Ids that may be broadcast.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
+#: Bytes of words: all but blanks.
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+_ROLL = np.uint64(0x9FB21C651E98DF25)
 #: Text bytes that are shingled at once; the words at the seams are carried over.
 CHUNK = 4 << 20
 
@@ -110,48 +116,129 @@ def _part(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else fp
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, cut: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """Pairs u < v of the distinct fingerprints in column fp that differ in at most `distance` bits, each once.
+def _ways(cut: list[tuple[int, int, int]], side: int) -> Column:
+    """Where a fingerprint in column fp looks (side 0) or lies (side 1): segment and value."""
 
-    A segment's radius is met half way: both sides list a ball, that of the table being the smaller one, and the pair
-    counts at the value between them that has the lowest of the differing bits on the asking side.
-    """
-    cut = cut or segments(fps.count(), distance)
+    def keys(k: int, low: int, width: int, radius: int) -> Column:
+        masks = F.lit(ball(width, _halves(radius)[side])).cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("s"), _part(F.col("fp"), low, width).bitwiseXOR(m).alias("key")))
 
-    def around(name: str, side: int) -> DataFrame:
-        def keys(k: int, low: int, width: int, radius: int) -> Column:
-            masks = F.lit(ball(width, _halves(radius)[side])).cast("array<bigint>")
-            return F.transform(masks, lambda m: F.struct(F.lit(k).alias("s"), _part(F.col("fp"), low, width).bitwiseXOR(m).alias("key")))
+    return F.concat(*(keys(k, *x) for k, x in enumerate(cut)))
 
-        return fps.select(F.col("fp").alias(name), F.explode(F.concat(*(keys(k, *x) for k, x in enumerate(cut)))).alias("at"))
 
-    diff = F.col("u").bitwiseXOR(F.col("v"))
-    earlier, here = F.lit(False), F.lit(False)  # here: no segment before has the pair too, and it counts at this value
+def _once(cut: list[tuple[int, int, int]], u: Column, v: Column, at: Column) -> Column:
+    """Whether a pair counts where it was met: in the first segment that has it, at the value between the two that has the lowest of the differing bits on the asking side."""
+    diff, earlier, here = u.bitwiseXOR(v), F.lit(False), F.lit(False)
     for k, (low, width, radius) in enumerate(cut):
         own, between, rest = _part(diff, low, width), F.lit(0).cast("bigint"), _part(diff, low, width)
         for _ in range(_halves(radius)[0]):
             lowest = rest.bitwiseAND(-rest)
             between, rest = between.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
-        here = here | ((F.col("t.at.s") == k) & ~earlier & (F.col("p.at.key").bitwiseXOR(_part(F.col("u"), low, width)) == between))
+        here = here | ((at["s"] == k) & ~earlier & (at["key"].bitwiseXOR(_part(u, low, width)) == between))
         earlier = earlier | (F.bit_count(own) <= radius)
-    same = (F.col("p.at.s") == F.col("t.at.s")) & (F.col("p.at.key") == F.col("t.at.key"))
-    return around("u", 0).alias("p").join(around("v", 1).alias("t"), same & (F.col("u") < F.col("v")) & (F.bit_count(diff) <= distance) & here).select("u", "v")
+    return here
+
+
+def _near(u: Column, v: Column, distance: int) -> Column:
+    return F.bit_count(u.bitwiseXOR(v)) <= distance
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """u and the smallest node v reachable from it, for all nodes of edges(u, v) but those smallest ones, by alternating large-star and small-star steps. Each round is written to the shared folder."""
-    now = _text.settled(edges.where("u <> v").distinct())
+def links(fps: DataFrame, distance: int = DISTANCE, cut: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """Pairs u < v of the distinct fingerprints in column fp that differ in at most `distance` bits, each once; with a column label, only pairs of two labels.
+
+    A segment's radius is met half way: both sides list a ball, that of the table being the smaller one. A fingerprint
+    doesn't ask where all that lies there has its own label.
+    """
+    cut = cut or segments(fps.count(), distance)
+    labelled = "label" in fps.columns
+    names = ["fp", "label"] if labelled else ["fp"]
+    asked, held = (fps.select(*names, F.explode(_ways(cut, side)).alias("at")) for side in (0, 1))
+    if labelled:
+        there = held.groupBy("at").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        asked = asked.join(there, "at").where("least <> label OR most <> label")
+    p, t = asked.alias("p"), held.alias("t")
+    u, v = F.col("p.fp"), F.col("t.fp")
+    pair = (F.col("p.at") == F.col("t.at")) & (u < v) & _near(u, v, distance) & _once(cut, u, v, F.col("p.at"))
+    if labelled:
+        pair = pair & (F.col("p.label") != F.col("t.label"))
+    return p.join(t, pair).select(u.alias("u"), v.alias("v"))
+
+
+def heads(fps: DataFrame, distance: int, cut: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs (u, v) of fingerprints within the distance where v is the least or largest of those that lie where u asks: a few for each, however dense a group is."""
+    asked, held = (fps.select("fp", F.explode(_ways(cut, side)).alias("at")) for side in (0, 1))
+    ends = held.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    met = asked.join(ends, "at").where("fp <> a OR fp <> b").select(F.col("fp").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    return met.where((F.col("u") != F.col("v")) & _near(F.col("u"), F.col("v"), distance)).distinct()
+
+
+def groups(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """u and the smallest fingerprint v that links reach from it, for all of the n distinct fingerprints in column fp but those smallest ones.
+
+    Fingerprints are joined to the ends of the buckets they ask first. The full search then lists links between what is
+    not yet in one group only, so that a dense group of m fingerprints gives some multiple of m rows, not of m * m. The
+    components are the same: a link inside a group adds nothing.
+    """
+    cut = segments(n, distance)
+    roots = stars(heads(fps, distance, cut))
+    named = fps.join(roots, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("label"))
+    more = links(_text.settled(named), distance, cut)
+    return stars(roots.unionByName(more))
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges that aren't the smallest of their component, and the smallest of each."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
     while True:
-        # done if every node has one edge to a smaller one, or none and only edges from larger ones
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[rest], ids[label[rest]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars, in bounded steps: no more edges than nodes are left."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        if sum(len(u) for u, _ in held) > 2 * EDGES:
+            u, v = _roots(*map(np.concatenate, zip(*held, strict=True)))
+            if len(u) > EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                held = []
+            else:
+                held = [(u, v)]
+    if held:
+        u, v = _roots(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def stars(edges: DataFrame, at_once: int = EDGES) -> DataFrame:
+    """u and the smallest node v reachable from it, for all nodes of edges(u, v) but those smallest ones.
+
+    Each task makes stars of its own edges. If at most `at_once` edges are left, one task joins them; else alternating
+    large-star and small-star steps go on, with a contraction by each task in every round. Each round is written to the
+    shared folder, and the writing tasks count what is left.
+    """
+    kind = "u long, v long"
+    now, n = _text.counted(edges.select("u", "v").where("u <> v").mapInArrow(_contracted, kind))
+    while n > at_once:
         roles = now.select(F.col("u").alias("x"), F.lit(1).alias("down")).union(now.select(F.col("v").alias("x"), F.lit(0).alias("down")))
-        if not roles.groupBy("x").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 1 OR down = 1 AND n > 1").limit(1).count() and not now.where("u < v").limit(1).count():
+        # done if every node has one edge to a smaller one, or none and only edges from larger ones
+        if not roles.groupBy("x").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 1 OR down = 1 AND n > 1").limit(1).count():
             return now
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = _text.settled(small.where("u <> v").distinct())
+        now, n = _text.counted(small.where("u <> v").distinct().mapInArrow(_contracted, kind))
+    return _text.settled(now.coalesce(1).mapInArrow(_contracted, kind)) if n else now
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -159,28 +246,43 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
 
     component_id is the smallest doc_id that links reach from the row, its own included. Null and blank texts have
     fingerprint 0 and link like others. A null doc_id is never the smallest; a component of only such rows has a null
-    id. Repeated rows each get their row. Extra columns are ignored.
+    id. Repeated rows each get their row; an empty table gives none. Extra columns are ignored.
     """
     fps = _text.settled(fingerprints(docs, shingle))
-    nodes = _text.settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = stars(links(nodes.select("fp"), distance))
-    linked = nodes.join(roots, F.col("fp") == F.col("u")).select("fp", "rep", F.col("v").alias("root"))
-    heads = nodes.join(roots.select(F.col("v").alias("fp")).distinct(), "fp").select("fp", "rep", F.col("fp").alias("root"))
-    linked = linked.unionByName(heads)
-    best = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(best, "root").select("fp", "component_id")
-    ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    nodes, n = _text.counted(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = groups(nodes.select("fp"), n, distance)
+    named = nodes.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "rep", F.coalesce("v", "fp").alias("root"))
+    best = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    ids = named.join(best, "root").select("fp", "component_id")
     return fps.join(_text.settled(ids), "fp").select("doc_id", "fp", "component_id")
 
 
-def _grams(text: bytes | None) -> np.ndarray:
-    """Sorted hashes of a text's shingles of NEAR_SHINGLE words; those of a shorter text are the one of all its words."""
-    grams, last, short = set(), [], []
-    for words in _chunks(text or b""):
-        w = last + words
-        grams.update(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[k:] for k in range(NEAR_SHINGLE)))), repeat(SEED)))
-        last, short = w[-(NEAR_SHINGLE - 1) :], w if len(w) < NEAR_SHINGLE else short
-    return np.sort(np.fromiter(grams or {xxhash.xxh64_intdigest(b" ".join(short), SEED)}, np.uint64))
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of `size` words of some texts, one text behind the other, and where each text's begin and end. A text of fewer words has the one of all its words; a blank one has one too."""
+    low, starts, ends, before = _text.word_bounds(data, offsets, _SOLID)
+    words, n = _text.word_hashes(low, starts, ends), np.diff(before)
+    made = np.maximum(n - size + 1, 1)
+    at = np.concatenate([[0], np.cumsum(made)])
+    out = np.zeros(at[-1], np.uint64)
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], made)  # of each shingle, its number in the text
+    first, last = np.repeat(before[:-1], made) + inside, np.repeat(before[1:], made)
+    for k in range(size):
+        here = first + k
+        good = here < last
+        out[good] = out[good] * _ROLL + words[here[good]]
+    return _text.mixed(out + np.repeat(np.minimum(n, size), made).astype(np.uint64)), at
+
+
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """Of each text the sorted hashes of its distinct shingles and the SimHash of all its shingles."""
+    data, offsets = _text.utf8(column)
+    for lo, hi in _text.slices(offsets):
+        own = offsets[lo : hi + 1]
+        grams, at = shingles(data[own[0] : own[-1]], own - own[0])
+        ones = np.add.reduceat(np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at[:-1], axis=0, dtype=np.int32)
+        fps = np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        for k in range(hi - lo):
+            yield np.unique(grams[at[k] : at[k + 1]]), int(fps[k])
 
 
 def _node(grams: np.ndarray) -> int:
@@ -198,10 +300,11 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.parts(batches):
-            for t in batch.column("text").cast(pa.large_binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(_grams(t.as_py()).view(np.int64))], ["gram"])
+            for grams, _ in _sets(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
 
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.lit(int(SAMPLE / max(SAMPLE, texts.count()) * (1 << 30)))).dropDuplicates(["text"])
+    share = F.lit(int(SAMPLE / max(SAMPLE, texts.count()) * (1 << 30)))
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share).dropDuplicates(["text"])
     found = some.select("text").mapInArrow(run, "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toArrow()
     grams, counts = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(grams)
@@ -209,114 +312,125 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(texts: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, fp, node, t (a hash of the text), n (the size of its shingle set) and keys of each row of texts(doc_id, text).
+    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual and keys of each row of texts(doc_id, text).
 
     Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
     least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
-    leaves what many texts share to those that hold little else.
+    leaves what many texts share to those that hold little else. usual: how frequent the text's shingles are on average;
+    of near copies, those with the fewest changes have the most.
     """
     sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in _text.parts(batches):
-            fps, nodes, sizes, keys = [], [], [], []
-            for t in batch.column("text").cast(pa.large_binary()):
-                text = t.as_py()
-                grams = _grams(text)
+            fps, nodes, sizes, usual, keys = [], [], [], [], []
+            for grams, fp in _sets(batch.column("text")):
                 at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
                 often = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(len(grams), np.int64)
                 first = np.argsort(often, kind="stable")[: len(grams) - _least(len(grams), similarity) + 1]
-                fps.append(fingerprint(text))
+                fps.append(fp)
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
+                usual.append(float(often.mean()))
                 keys.append(grams[first].view(np.int64))
-            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "keys"])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "keys"])
 
-    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, keys array<long>")
+    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, usual float, keys array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _text.parts(batches):
-        sets = [_grams(t.as_py()) for t in batch.column("text").cast(pa.large_binary())]
+    for batch in _text.parts(batches, 100):
+        sets = [grams for grams, _ in _sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
 
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    """The n ids, marked for a broadcast if they are few."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words."""
-    pairs = _text.settled(pairs)
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "t"), "node").select("t").distinct()
-    wanted = texts.withColumn("t", F.xxhash64("text")).join(asked, "t", "left_semi").dropDuplicates(["t"])
-    sets = _text.settled(wanted.select("text").mapInArrow(_shingle_sets, "node long, grams array<long>").dropDuplicates(["node"]))
+    asked, n = _text.counted(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t"), "node").select("t"))
+    wanted = texts.withColumn("t", F.xxhash64("text")).join(_few(asked, n), "t", "left_semi").dropDuplicates(["t"])
+    sets = _text.settled(wanted.select("text").mapInArrow(_shingle_sets, "node long, grams array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
-def _united(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and label of labels, where the labels of a pair's nodes are one."""
-    ends = pairs.join(labels.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("b")), "v")
-    roots = stars(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return _text.settled(labels.join(roots, F.col("label") == F.col("u"), "left").select("node", F.coalesce("v", "label").alias("label")))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of its group) of each row of docs(doc_id, text).
-
-    Groups are the components of two kinds of links: those of components(), by fingerprints alone, and all pairs of texts
-    whose shingle sets are similar, however far their fingerprints are. The latter are found by the keys of _keyed() and
-    verified. Dense groups shrink first: the texts of a key are compared to one of them, then those that are in other
-    groups than most texts of their key to all that are in another one.
-    """
+def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, node) of each row of docs(doc_id, text), and (node, doc_id, t) of the row that stands for the group of each node: the smallest doc_id, then the smallest t; null if the group has no doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _text.settled(_keyed(texts, similarity))
-    nodes = _text.settled(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("t").alias("t")))
-    roots = stars(links(rows.select("fp").distinct(), DISTANCE))
-    # texts with one shingle set can differ in words' order, hence in fingerprints, which are one group then
-    marked = rows.select("node", "fp").distinct().join(roots, F.col("fp") == F.col("u"), "left").select("node", F.coalesce("v", "fp").alias("fp"))
-    same = marked.groupBy("node").agg(F.min("fp").alias("u"), F.array_distinct(F.collect_list("fp")).alias("fps"))
-    roots = stars(same.select("u", F.explode("fps").alias("v")))
-    labels = _text.settled(same.select("node", F.col("u").alias("fp")).join(roots, F.col("fp") == F.col("u"), "left").select("node", F.coalesce("v", "fp").alias("label")))
-
-    members = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "key"))
-    of_key = Window.partitionBy("key")
-    members = _text.settled(members.withColumn("head", F.min(F.struct("node", "n", "at")).over(of_key)).withColumn("texts", F.count("*").over(of_key)).where("texts > 1").drop("texts"))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))
+    nodes, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("keys").alias("keys"), F.min(own).alias("rep")))
 
     def can(n: Column, at: Column, m: Column, other: Column) -> Column:
         """Whether sets of n and m that share a key at these places, but none before, can be similar."""
         return F.least(n - at, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs, each once, that have two labels."""
-        a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
-        return pairs.distinct().join(a, "u").join(b, "v").where("a <> b").select("u", "v")
-
-    first = members.where((F.col("node") != F.col("head.node")) & can(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
-    labels = _united(labels, _similar(apart(first.select(F.col("head.node").alias("u"), F.col("node").alias("v"))), nodes, texts, similarity))
-
-    named = members.drop("head").join(labels, "node")
-    counts = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
-    named = _text.settled(named.join(counts.where("labels > 1"), "key").drop("labels"))
+    # keys that one node alone has lead nowhere
+    every = nodes.select("node", "n", "usual", F.posexplode("keys").alias("at", "key"))
+    shared = every.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(F.struct("usual", "node", "n", "at")).alias("head")).where("a <> b").select("key", "head")
+    members = _text.settled(every.join(shared, "key").select("key", "node", "n", "at", "head"))
+
+    # first, each node and the most usual nodes that it meets: by fingerprints, and by keys
+    cut = segments(n)
+    asked, held = (nodes.select("node", "fp", "usual", F.explode(_ways(cut, side)).alias("at")) for side in (0, 1))
+    heads = held.groupBy("at").agg(F.max(F.struct("usual", "node", "fp")).alias("head"))
+    close = asked.join(heads, "at").where((F.col("node") != F.col("head.node")) & _near(F.col("fp"), F.col("head.fp"), DISTANCE)).select("node", "head.usual", F.col("head.node").alias("v"), F.lit(1).alias("kind"))
+    meet = members.where((F.col("node") != F.col("head.node")) & can(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))).select("node", "head.usual", F.col("head.node").alias("v"), F.lit(2).alias("kind"))
+    met = close.unionByName(meet).groupBy("node", "kind", "v").agg(F.max("usual").alias("usual"), F.count("*").alias("n"))
+    best = met.groupBy("node", "kind").agg(F.max_by("v", F.struct("usual", "v")).alias("a"), F.max_by("v", F.struct("n", "v")).alias("b"))
+    pairs = best.select("node", F.explode(F.array("a", "b")).alias("v")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    edges = _text.settled(_similar(_text.settled(pairs), nodes, texts, similarity))
+    roots = stars(edges)
+
+    # then all that meet in a key and are still in two groups; most nodes of a key are in one
+    named = members.join(roots, F.col("node") == F.col("u"), "left").select("key", "node", "n", "at", F.coalesce("v", "node").alias("label"))
+    most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("key", "most")
+    named = _text.settled(named.join(most, "key"))
     p, t = named.where("label <> most").alias("p"), named.alias("t")
     cross = (F.col("p.key") == F.col("t.key")) & (F.col("p.label") != F.col("t.label")) & ((F.col("t.label") == F.col("t.most")) | (F.col("p.node") < F.col("t.node")))
     rest = p.join(t, cross & can(F.col("p.n"), F.col("p.at"), F.col("t.n"), F.col("t.at"))).select(F.least("p.node", "t.node").alias("u"), F.greatest("p.node", "t.node").alias("v")).distinct()
-    labels = _united(labels, _similar(rest, nodes, texts, similarity))
+    rest, n = _text.counted(rest)
+    if n:
+        roots = stars(roots.unionByName(_similar(rest, nodes, texts, similarity)))
+
+    named = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("v", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("rep").alias("rep"))
+    return rows.select("doc_id", "t", "node"), _text.settled(named.select("node", "label").join(least, "label").select("node", "rep"))
+
 
-    least = rows.select("doc_id", "node").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = _text.settled(labels.join(least, "label").select("node", "component_id"))
-    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+def near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of each row of docs(doc_id, text).
+
+    Groups are the components of all pairs of texts whose sets of NEAR_SHINGLE words have a Jaccard similarity of at
+    least `similarity`. Multi-index hashing of fingerprints proposes the first pairs; keys of _keyed() propose the rest,
+    however far fingerprints are apart; each is verified. What is in one group already is not compared again, so that
+    dense groups don't give all their pairs. Null and blank texts are one group. A group without any doc_id has a null
+    id. Repeated rows each get their row; an empty table gives none. Extra columns are ignored.
+    """
+    rows, ids = _grouped(docs, similarity)
+    return rows.join(ids, "node").select("doc_id", F.col("rep.doc_id").alias("component_id"))
 
 
 def distinct(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """docs with one row of each group of near_duplicates(), that of the smallest doc_id; of rows that repeat this doc_id, any one. Rows without doc_id stay, as nothing tells them apart."""
-    found = near_duplicates(docs, similarity).where("doc_id IS NOT NULL")
-    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
-    ids = _text.settled(ids.where("stays = 0 OR n > 1").select(F.col("doc_id").alias("other_id"), "stays"))
+    """docs with one row of each group of near_duplicates(): that of the smallest doc_id; of rows that repeat this doc_id, the text with the smallest hash, then the first row as JSON. Rows without doc_id stay, as nothing tells them apart. Columns stay; an empty table stays empty."""
+    rows, ids = _grouped(docs, similarity)
+    found = rows.where("doc_id IS NOT NULL").join(ids, "node").groupBy("doc_id", "t").agg(F.max(((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("t") == F.col("rep.t"))).cast("int")).alias("stays"), F.count("*").alias("n"))
+    ids, n = _text.counted(found.where("stays = 0 OR n > 1").select(F.col("doc_id").alias("other_id"), F.col("t").alias("other_t"), "stays"))
     # few ids are told to every task, so that texts needn't be shuffled; more are joined
-    small = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    rest = docs.join(small, docs["doc_id"] == F.col("other_id"), "left_anti")
-    return rest.unionByName(docs.join(small.where("stays = 1"), docs["doc_id"] == F.col("other_id"), "left_semi").dropDuplicates(["doc_id"]))
+    small = _few(ids, n)
+    same = lambda few: (docs["doc_id"].cast("long") == few["other_id"]) & (F.xxhash64(docs["text"].cast("string")) == few["other_t"])
+    rest = docs.join(small, same(ids), "left_anti")
+    repeated = docs.join(small.where("stays = 1"), same(ids), "left_semi")
+    row = F.struct(*docs.columns)
+    one = repeated.groupBy("doc_id", F.xxhash64(F.col("text").cast("string"))).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return rest.unionByName(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,19 @@ def test_stars(spark):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
     assert got == {k: v for k, v in least.items() if k != v}
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    assert {r.u: r.v for r in simhash.stars(frame, 0).collect()} == got  # in rounds, without a task that has all
+    assert simhash.stars(frame.where("false")).count() == 0
+
+
+def test_dense_groups_give_few_links(spark):
+    rnd = random.Random(8)
+    fps = sorted({sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 3))) for _ in range(1500)} | {rnd.getrandbits(63) for _ in range(300)})
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    cut = simhash.segments(len(fps))
+    want = {k: v for k, v in grouped({x: x for x in fps}, 4).items() if k != v}
+    assert {r.u: r.v for r in simhash.groups(frame, len(fps)).collect()} == want
+    assert simhash.heads(frame, 4, cut).count() < 20 * len(fps) < simhash.links(frame, 4, cut).count()
 
 
 def test_components_against_brute_force(docs, none):
@@ -177,9 +190,9 @@ def test_near_duplicates_beyond_ten_bits(spark):
     sets, fps = shingle_sets(rows), {k: plain_fingerprint(t) for k, t in rows}
     bits = {k: (fps[k] ^ fps[k + 1]).bit_count() for k in fps if k % 2 == 0}
     alike = {k for k in bits if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
-    assert any(bits[k] > 10 for k in alike) and any(k not in alike and bits[k] > 4 for k in bits)
+    assert any(bits[k] > 10 for k in alike) and any(k not in alike for k in bits)
     kept = {r.doc_id for r in simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {k for k in fps if k % 2 == 0 or k - 1 not in alike and bits[k - 1] > 4}
+    assert kept == {k for k in fps if k % 2 == 0 or k - 1 not in alike}
 
 
 def test_near_duplicates_of_members(spark):
@@ -201,6 +214,29 @@ def test_near_duplicates_of_members(spark):
     assert reached == set(sets) and set(got.values()) == {0}
 
 
+def test_near_duplicates_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    sets = shingle_sets(rows)
+    least = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in pairs:
+        old = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if old == least:
+            break
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == least
+    assert sorted(r.doc_id for r in simhash.distinct(docs).collect()) == sorted(set(least.values()))
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "x"), (3, b + " end", "w"), (None, a, "n"), (None, a, "n")]
+    left = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert Counter(tuple(r) for r in left) == Counter({(1, a, "x"): 1, (1, b, "z"): 1, (None, a, "n"): 2})
+
+
 def test_near_duplicates_are_six_groups(spark):
     rnd = random.Random(5)
     base = [[f"w{rnd.randint(0, 5000)}" for _ in range(300)] for _ in range(6)]
