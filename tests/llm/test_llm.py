@@ -287,30 +287,53 @@ def test_language_edges(spark, docs, none):
 # top-k
 
 
-def test_topk_against_brute_force(spark):
+def test_topk_against_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(2)
     rows = [(int(k), [float(x) for x in rnd.normal(0, 0.3, 8)]) for k in range(130)] + [(200 + k, [0.5] * 8) for k in range(60)]
-    rows += [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (520, [1.0, 2.0]), (521, [2.0, 2.0]), (540, []), (None, [1.0] * 8), rows[0], (560, [1e300] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("rank", F.lit(2))
-    got = defaultdict(list)
-    for r in topk.search(df).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    x = {k: [max(-topk.MOST, min(topk.MOST, int(np.floor(64 * c)))) for c in v] for k, v in rows if k is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
-    for q in (k for k in x if k % 20 == 0):
-        best = sorted(((sum(a * b for a, b in zip(x[q], x[v], strict=True)), -v) for v in x if v != q and len(x[v]) == len(x[q])), reverse=True)[:20]
-        assert got[q] == [(-v, s) for s, v in best], q
+    rows += [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (520, [1.0, 2.0]), (521, [2.0, 2.0]), (540, []), (541, []), (None, [1.0] * 8), rows[0], (560, [1e300] * 8), (580, [3e7] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("row", F.lit(3)).repartition(3)
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    x = [(k, [held(int(np.floor(64 * c))) for c in v]) for k, v in rows if k is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    want = Counter()
+    for a, (q, u) in enumerate(x):
+        if q % 20 == 0:
+            best = sorted((-held(sum(c * d for c, d in zip(u, w, strict=True))), v) for b, (v, w) in enumerate(x) if a != b and len(w) == len(u))[:20]
+            want.update((q, n, v, -s) for n, (s, v) in enumerate(best, 1))
+    for size in (topk.QUERY_BYTES, 300):  # all queries at once, and in blocks
+        monkeypatch.setattr(topk, "QUERY_BYTES", size)
+        assert Counter(tuple(r) for r in topk.search(df).select("query_id", "rank", "vec_id", "score").collect()) == want
     assert topk.search(df.where("false")).count() == 0
 
 
-def test_index_stops_early_and_stays_exact():
+def test_topk_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rnd = np.random.default_rng(6)
+    rows = [(int(k % 50), [float(x) for x in rnd.normal(0, 0.3, 6)]) for k in range(120)] + [(20, [1e5] * 6), (20, [1e5] * 6), (41, [-1e5] * 6), (None, [1.0] * 6), (60, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert Counter(map(tuple, got)) == Counter(con.execute(topk.SQL).fetchall()) and len(got) > 20
+
+
+def test_index_reads_few_postings_and_stays_exact():
     rnd = np.random.default_rng(4)
     x = rnd.integers(-3, 4, (4000, 32)) + np.where(rnd.random((4000, 32)) < 0.02, 60, 0)
-    q = x[:40]
-    index = topk.Index(np.arange(4000), x)
-    for row, (at, score) in zip(q, index.search(q, 10), strict=True):
+    q = x[:40].copy()
+    q[:, 16:] = 0  # dimensions that no query has
+    index, best = topk.Index(np.arange(4000), np.arange(4000), x), topk.Best(40, 10)
+    query, at = index.search(q, best.least, 10)
+    best.add(query, topk._products(x[at], q[query]), index.ids[at], index.rows[at])
+    for k, row in enumerate(q):
         exact = x @ row
         order = np.lexsort((np.arange(4000), -exact))[:10]
-        assert at.tolist() == order.tolist() and score.tolist() == exact[order].tolist()
+        own = best.rows[0] == k
+        assert best.rows[2][own].tolist() == order.tolist() and (-best.rows[1][own]).tolist() == exact[order].tolist()
+    assert len(at) < 4000 * 40 // 4 and 0 < index.read < 0.6 * index.postings
+    later = topk.Index(np.arange(4000), np.arange(4000, 8000), x // 4)  # no vector reaches what was found before
+    later.search(q, best.least, 10)
+    assert later.read < 0.6 * later.postings / 2
 
 
 # language-model scores
