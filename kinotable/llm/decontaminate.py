@@ -1,9 +1,9 @@
 """Benchmark decontamination: find every occurrence of a benchmark n-gram in training texts; cut it out or drop the text.
 
-The windows of the benchmark are hashed into one table that every executor gets. A scan hashes the words of a text,
+The windows of the benchmark are hashed into sorted arrays that every executor gets. A scan hashes the words of a text,
 rolls them into window hashes, looks those up, and compares the words of each hit, so that hash collisions never count.
-The table's size is measured first: a benchmark beyond `block_bytes` of text is scanned in blocks that fit, each pass
-adding its hits to the rows of the one before. There is no shuffle.
+The number of windows is counted first: a benchmark whose index is larger than `index_bytes` is scanned in blocks that
+fit, each pass adding its hits to the rows of the one before. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -22,62 +22,79 @@ from kinotable.llm import _text
 
 #: Words of a window; an item with fewer words is one window as a whole.
 WINDOW = 10
-#: Benchmark text that one pass may send to the executors.
-BLOCK_BYTES = 16 << 20
+#: Bytes of the windows' index that one pass may send to the executors, unless one item alone has more; bytes of a window in it.
+INDEX_BYTES, WINDOW_BYTES = 64 << 20, 32
 #: A text is dropped if at least this share of its words is hit, else its hit spans are cut out.
 DROP_SHARE = 0.5
 
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Windows:
-    """The distinct windows of some benchmark items, by length, for lookups by hash and comparison by words."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        lengths: dict[int, list[bytes]] = defaultdict(list)
-        for item, text in items:
-            low, starts, ends, _ = _text.word_bounds(*_text.utf8(pa.array([text], pa.large_string())))
-            words, raw = [], low.tobytes()
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                words.append(raw[a:b])
-            n = min(window, len(words))
-            for k in range(len(words) - n + 1 if n else 0):
-                key = b" ".join(words[k : k + n])
-                if key not in self.items:
-                    lengths[n].append(key)
-                self.items[key].update([item] if item is not None else [])
-        self.hashes = {n: np.unique(np.concatenate([self._hash(k) for k in keys])) for n, keys in lengths.items()}
-        self.seen = {}
-        for n, h in self.hashes.items():
-            seen = np.zeros(1 << max(16, min(24, len(h).bit_length() + 5)), bool)
+    """The windows of some benchmark items for lookups by hash and comparison by words: sorted arrays, by length."""
+
+    def __init__(self, items: pa.Table, window: int = WINDOW):
+        self.ids = items.column("item_id").to_pylist()
+        data, offsets = _text.utf8(items.column("text").combine_chunks())
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)  # hash, item, first and last byte in `words`
+        words, done = [], 0
+        for lo, hi in _text.slices(offsets):
+            own = offsets[lo : hi + 1]
+            low, starts, ends, before = _text.word_bounds(data[own[0] : own[-1]], own - own[0])
+            size, n = ends - starts, np.diff(before)
+            at = np.concatenate([[0], np.cumsum(size + 1)])  # of the words, with one blank behind each
+            joined = low[np.minimum(np.arange(at[-1]) - np.repeat(at[:-1] - starts, size + 1), max(len(low) - 1, 0))] if len(size) else low[:0]
+            joined[at[1:] - 1] = 32
+            long = np.minimum(n, window)
+            for m, h in rolls(_text.word_hashes(low, starts, ends), int(long.max(initial=0))):
+                of = np.flatnonzero(long == m)
+                if not len(of):
+                    continue
+                count = n[of] - m + 1
+                first = np.repeat(before[of] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                found[m].append((h[first], np.repeat(of + lo, count).astype(np.int32), (at[first] + done).astype(np.int32), (at[first + m] - 1 + done).astype(np.int32)))
+            words.append(joined)
+            done += len(joined)
+        self.words = np.concatenate(words).tobytes() if words else b""
+        self.tables, self.seen = {}, {}
+        for m, parts in found.items():
+            h, item, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, h))
+            again = np.concatenate([[False], (np.diff(h[order]) == 0) & (np.diff(item[order]) == 0)])
+            same = [self.words[begin[x] : end[x]] == self.words[begin[y] : end[y]] for x, y in zip(order[np.flatnonzero(again)], order[np.flatnonzero(again) - 1], strict=True)]
+            again[np.flatnonzero(again)] = same  # an item's window counts once
+            order = order[~again]
+            self.tables[m] = (h[order], item[order], begin[order], end[order])
+            seen = np.zeros(1 << max(16, min(24, len(order).bit_length() + 3)), bool)
             seen[h & np.uint64(len(seen) - 1)] = True
-            self.seen[n] = seen
+            self.seen[m] = seen
 
-    def _hash(self, key: bytes) -> np.ndarray:
-        data = np.frombuffer(key, np.uint8)
-        low, starts, ends, _ = _text.word_bounds(data, np.array([0, len(data)]))
-        return next(rolled for n, rolled in rolls(_text.word_hashes(low, starts, ends), len(starts)) if n == len(starts))
+    def nbytes(self) -> int:
+        return len(self.words) + sum(x.nbytes for t in self.tables.values() for x in t) + sum(x.nbytes for x in self.seen.values())
 
     def find(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, item ids) of each occurrence; `before` has the words before each text."""
-        if not self.hashes or not len(starts):
+        if not self.tables or not len(starts):
             return
         raw = None
-        for n, h in rolls(_text.word_hashes(low, starts, ends), max(self.hashes)):
-            if n not in self.hashes or not len(h):
+        for n, h in rolls(_text.word_hashes(low, starts, ends), max(self.tables)):
+            if n not in self.tables or not len(h):
                 continue
-            seen = self.seen[n]
+            seen, (known, item, begin, end) = self.seen[n], self.tables[n]
             at = np.flatnonzero(seen[h & np.uint64(len(seen) - 1)])
-            if not len(at):
+            first = np.searchsorted(known, h[at])
+            good = known[np.minimum(first, len(known) - 1)] == h[at]
+            good &= np.searchsorted(before, at, "right") == np.searchsorted(before, at + n - 1, "right")
+            if not good.any():
                 continue
-            at = at[np.isin(h[at], self.hashes[n])]
-            at = at[np.searchsorted(before, at, "right") == np.searchsorted(before, at + n - 1, "right")]
             raw = raw or low.tobytes()
-            for k in at.tolist():
+            last = np.searchsorted(known, h[at], "right")
+            for k, x, y in zip(at[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
                 key = b" ".join(raw[a:b] for a, b in zip(starts[k : k + n].tolist(), ends[k : k + n].tolist(), strict=True))
-                if key in self.items:
-                    yield k, n, self.items[key]
+                own = {self.ids[item[j]] for j in range(x, y) if self.words[begin[j] : end[j]] == key}
+                if own:
+                    yield k, n, own - {None}
 
 
 def rolls(words: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,8 +166,8 @@ def _scanner(block, carry: bool):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] = ()) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, merged hit spans and the sorted ids of items found; `keep`: columns to return beside, none of which may be named as one of those.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_bytes: int = INDEX_BYTES, keep: list[str] = ()) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_words, merged hit spans and the sorted ids of items found; `keep`: columns to return beside, none of which may be named as one of those (an error).
 
     benchmark(item_id, text). A null or empty text has no words and no hits; so has a null or empty item. Items with a
     null id count for spans, not as items. Repeated items add nothing, repeated documents each get their row. Extra
@@ -158,12 +175,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    total = bench.agg(F.sum(F.regexp_count("text", F.lit(_ANY_WORD)))).first()[0] or 0
+    blocks = max(1, -(-total * WINDOW_BYTES // index_bytes))
+    if clash := {*keep} & {*SCAN.names}:
+        raise ValueError(f"names that scan() returns itself: {sorted(clash)}")
     rows = docs.select("doc_id", "text", *keep)
     for k in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(Windows([tuple(r) for r in own.distinct().collect()], window))
+        block = spark.sparkContext.broadcast(Windows(own.distinct().toArrow(), window))
         last = k == blocks - 1
         fields = [*SCAN.fields, *(f for f in rows.schema.fields if f.name in keep or f.name == "text")]
         rows = rows.mapInArrow(_scanner(block, k > 0), T.StructType(fields))
@@ -182,7 +201,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:
-    """docs without benchmark passages: hit spans are cut out of texts, and texts with at least `drop_share` of their words hit go. Other rows, nulls included, stay as they are; the columns stay, and n_chars follows the text if it is there."""
+    """docs without benchmark passages: hit spans are cut out of texts, and texts with at least `drop_share` of their words hit go. Other rows, nulls included, stay as they are, repeated ones each; an empty table stays empty. The columns stay, and n_chars follows the text if it is there."""
     names = docs.columns
     packed = docs.select("doc_id", "text", F.struct(*names).alias("row"))
     found = scan(packed, benchmark, window, keep=["row"])

@@ -54,8 +54,8 @@ def test_decontamination_against_brute_force(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     for r, b in zip(rows, decontaminate.brute([x for x in items if x[0]], [r.text for r in rows]), strict=True):
         want[r.doc_id, b[0], b[2], b[3]] += 1
-    for block in (1 << 20, 40):  # in one block, and in several
-        found = decontaminate.digest(decontaminate.scan(docs, bench, block_bytes=block)).collect()
+    for size in (1 << 20, 600):  # in one block, and in several
+        found = decontaminate.digest(decontaminate.scan(docs, bench, index_bytes=size)).collect()
         assert Counter((r.doc_id, r.n_words, r.n_items, r.items_sha256) for r in found) == want
     named = bench.where("item_id IS NOT NULL")
     hits = {r.doc_id: r.n_hit for r in decontaminate.digest(decontaminate.scan(docs, named)).collect()}
@@ -63,6 +63,27 @@ def test_decontamination_against_brute_force(spark, docs):
         assert hits[r.doc_id] == b[1] or r.doc_id is None
 
 
+def test_index_of_a_large_benchmark():
+    import time
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    vocabulary = np.array([f"w{k}x" for k in range(30000)])
+    items = [" ".join(vocabulary[rnd.integers(0, 30000, 400)]) for _ in range(2000)]
+    items += items[:500]  # items that share all windows
+    began = time.perf_counter()
+    index = decontaminate.Windows(pa.table({"item_id": [str(k) for k in range(2500)], "text": items}))
+    n = 2500 * 391
+    assert time.perf_counter() - began < 30 and index.nbytes() < n * decontaminate.WINDOW_BYTES + (16 << 20)
+    text = "start " + items[7][:2000].rsplit(" ", 1)[0] + " end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    from kinotable.llm import _text
+
+    hits = list(index.find(*_text.word_bounds(data, np.array([0, len(data)]))))
+    assert len(hits) == len(text.split()) - 2 - 9 and all(ids == {"7", "2007"} for _, _, ids in hits)
+
+
 def test_decontamination_cuts_and_drops(spark):
     passage = " ".join(f"w{k}" for k in range(10))
     rows = [(1, f"Été one two {passage} three " + "four " * 20, 0), (2, passage, 0), (3, "clean", 5), (4, None, None)]
