@@ -6,7 +6,7 @@ of a text, with a penalty for each switch, labels spans. A text is decoded word
 words, other languages gain more than the penalty over the best single language, one span is proved to be the best path.
 
 The model is fitted on a bounded sample of labelled rows (TRAIN_TEXTS distinct texts of each language, chosen by hash)
-and is sent to the executors; its size is languages x BUCKETS floats. Prediction reads the text alone.
+and is sent to the executors; its size is languages x BUCKETS floats, NUMBERS at most. Prediction reads the text alone.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from kinotable.llm import _text
 
 #: About so many distinct texts of each language are learned from.
 TRAIN_TEXTS = 2000
-#: Trigram hashes, and languages that a model may have.
-BUCKETS, LANGUAGES = 1 << 16, 256
+#: Trigram hashes, and numbers in a model: with more languages than these allow, trigrams share fewer hashes.
+BUCKETS, NUMBERS = 1 << 16, 1 << 24
 #: Log probability that a switch of language costs.
 SWITCH = 12.0
 #: A script belongs to a language if at least this share of its words is in it.
@@ -92,20 +92,28 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray):
         """grams: counts by language and bucket; scripts: words by language and script."""
         self.langs = langs
-        rates = (grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * BUCKETS)
+        self.bits = (grams.shape[1] - 1).bit_length()
+        rates = (grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * grams.shape[1])
         self.logs = np.log(rates).astype(np.float32)
         self.allowed = scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= SCRIPT_SHARE
         self.usual = int(np.argmax(scripts.sum(1))) if len(langs) else 0
         self.scale = np.abs(self.logs).max(initial=1)
 
     def scores(self, words: Words) -> np.ndarray:
-        """Languages x words; a word whose script no language has scores 0 for all."""
-        out = np.empty((len(self.langs), len(words.starts)), np.float64)
-        for k, logs in enumerate(self.logs):
-            out[k] = np.add.reduceat(logs[words.grams], words.firsts, dtype=np.float64) if len(words.starts) else 0
-        allowed = self.allowed[:, words.scripts]
-        out = np.where(allowed, out, out - 4 * self.scale)  # another script is as four impossible trigrams
-        out[:, ~allowed.any(0)] = 0
+        """Languages x words. A word's script narrows the languages that are scored; the others get less than these by four impossible trigrams. A word whose script no language has scores 0 for all."""
+        out = np.zeros((len(self.langs), len(words.starts)), np.float64)
+        grams = words.grams >> np.uint32((BUCKETS - 1).bit_length() - self.bits)
+        sizes = np.diff(np.append(words.firsts, len(grams)))
+        for script in np.unique(words.scripts).tolist():
+            own, can = words.scripts == script, np.flatnonzero(self.allowed[:, script])
+            if not len(can):
+                continue
+            at, part, firsts = (slice(None), grams, words.firsts) if own.all() else (np.flatnonzero(own), grams[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])[:-1]]))
+            found = np.stack([np.add.reduceat(self.logs[k][part], firsts, dtype=np.float64) for k in can])
+            if len(can) < len(self.langs):
+                out[:, at] = found.min(0) - 4 * self.scale
+            for k, row in zip(can, found, strict=True):
+                out[k, at] = row
         return out
 
     def label(self, words: Words) -> list[list[tuple[int, int, int]]]:
@@ -178,22 +186,22 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """A model from labelled(text, lang), rows with a null in either left out. About `texts` distinct texts of each language count: those with the smallest hashes."""
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(have) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not have:
-        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(_NAMES) + 1)))
-    share = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for lang, n in have.items() for x in (lang, int(min(1.0, texts / n) * (1 << 30))))), F.col("lang")), F.lit(0))
-    sample = rows.select("text", "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).dropDuplicates(["lang", "text"])
-    counts = sample.mapInArrow(_counting, _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(have)
-    grams, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(_NAMES) + 1))
-    lang = counts["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)
-    for kind, table in enumerate((grams, scripts)):
-        of = (counts["kind"] == kind).to_numpy()
-        table[lang[of], counts["at"].to_numpy(int)[of]] = counts["n"].to_numpy(float)[of]
+    """A model from labelled(text, lang), rows with a null in either left out. About `texts` distinct texts of each language count: those with the smallest hashes. Repeated rows change nothing."""
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    have = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n"))
+    shares = have.select("lang", F.least(F.lit(1 << 30), F.ceil(F.lit(float(texts) * (1 << 30)) / F.greatest("n", F.lit(1)))).alias("share"))
+    sample = rows.join(shares, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share")).select("text", "lang").dropDuplicates(["lang", "text"])
+    counts = sample.mapInArrow(_counting, _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(counts.column("lang").unique().to_pylist())
+    buckets = BUCKETS
+    while buckets > 64 and buckets * len(langs) > NUMBERS:
+        buckets //= 2
+    grams, scripts = np.zeros((len(langs), buckets)), np.zeros((len(langs), len(_NAMES) + 1))
+    lang, kind, at, n = (counts.column(c) for c in ("lang", "kind", "at", "n"))
+    lang = pa.compute.index_in(lang.combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+    kind, at, n = kind.to_numpy(), at.to_numpy(), n.to_numpy()
+    np.add.at(grams, (lang[kind == 0], at[kind == 0] * buckets // BUCKETS), n[kind == 0])
+    np.add.at(scripts, (lang[kind == 1], at[kind == 1]), n[kind == 1])
     return Model(langs, grams, scripts)
 
 
@@ -221,7 +229,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
             texts = batch.column("__text")
             data, offsets = _text.utf8(texts)
             pred, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
-            for lo, hi in _text.slices(offsets) if m.langs else ():
+            for lo, hi in _text.slices(offsets, _text.SLICE_BYTES // (1 + len(m.langs) // 32)) if m.langs else ():
                 own = offsets[lo : hi + 1]
                 words = Words(data[own[0] : own[-1]], own - own[0])
                 sizes = words.ends - words.starts
@@ -256,7 +264,7 @@ def learn(docs: DataFrame) -> Model:
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that language ID rejects: those without letters, and those whose main language holds less than `min_score` of their letters. A null lang is filled in; columns stay."""
+    """docs without the rows that language ID rejects: those without letters, and those whose main language holds less than `min_score` of their letters. A null lang is filled in; columns stay. Repeated rows and ids each stay or go alike; an empty table stays empty."""
     packed = docs.select("text", F.struct(*docs.columns).alias("row"))
     found = predict(packed, learn(docs), keep=["row"])
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
