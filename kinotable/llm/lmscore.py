@@ -2,7 +2,8 @@
 
 Two bigram models share the vocabulary of a public tokenizer, the order, the smoothing and the size: the target model
 counts the labelled texts, the background model counts all texts, scaled to the target's number of tokens. A text's
-score is the mean over its tokens of target loss less background loss; low scores are like the target.
+score is the mean over its tokens of target loss less background loss; low scores are like the target. No text is scored
+by what it has itself added to a model: its own counts are left out, so that only what other texts hold makes it likely.
 
 Texts become ids once and are written to the shared folder, in chunks of bounded size. Each chunk's distinct bigrams are
 counted exactly and summed over a shuffle, so the table of bigrams grows with the corpus; a chunk's texts are scored with
@@ -24,6 +25,8 @@ from kinotable.llm import _text, packing
 
 #: Numbers in a slice of a table, and bytes of ids in a chunk, unless one text alone is longer.
 SLICE, CHUNK = 1 << 14, 4 << 20
+#: Partial sums of a slice of unigram counts, so that no task gets one from every other.
+SALTS = 64
 #: Weight of the unigram model behind a bigram, and pseudo-count of each id in it.
 BACKOFF, PSEUDO = 20.0, 0.1
 #: Target ids that may be broadcast; more are joined by a shuffle.
@@ -81,21 +84,31 @@ class Models:
         self.vocabulary = vocabulary
         total, target = (float(t[:vocabulary].sum()) for t in tables)
         scale = target / total if total and target else 1.0
-        self.parts = []
-        for counts, by in ((tables[1], 1.0), (tables[0], scale)):
-            uni = counts * by  # the last: texts, as what stands before their first id
-            p = (uni[:vocabulary] + PSEUDO) / (uni[:vocabulary].sum() + PSEUDO * vocabulary)
-            self.parts.append(((BACKOFF * p).astype(np.float32), (uni + BACKOFF).astype(np.float32), by))
-
-    def losses(self, ids: np.ndarray, firsts: np.ndarray, known: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
-        """Target's and background's loss of each id, in nats, by the counts (target's, all) of the sorted bigrams `known`, which has all of these ids."""
+        self.parts = [(tables[1].astype(np.float64), 1.0), (tables[0].astype(np.float64), scale)]
+
+    def losses(self, ids: np.ndarray, at: np.ndarray, known: np.ndarray, counts: list[np.ndarray], target: np.ndarray) -> list[np.ndarray]:
+        """Target's and background's loss of each id, in nats, by the counts (target's, all) of the sorted bigrams `known`, which has all of these ids.
+
+        at: where each text's ids begin and end, none empty; target: whether the text is one of the target's. The text's own counts are left out.
+        """
+        firsts, long = at[:-1], np.diff(at)
         before, keys = _keys(ids, firsts, self.vocabulary)
-        at, out = np.searchsorted(known, keys), []
-        for (behind, norm, by), n in zip(self.parts, counts, strict=True):
-            out.append(-np.log(((n * by).astype(np.float32)[at] + behind[ids]) / norm[before]))
+        where, doc, out = np.searchsorted(known, keys), np.repeat(np.arange(len(long)), long), []
+        own_pair, own_id, own_before = (_repeats(doc, x) for x in (where, ids, before))
+        own_before = own_before + (before == np.repeat(ids[at[1:] - 1], long))  # a text's last id stands before none
+        for k, ((uni, by), n) in enumerate(zip(self.parts, counts, strict=True)):
+            out_of = np.repeat(target, long) if k == 0 else 1
+            behind = ((uni[ids] - own_id * out_of) * by + PSEUDO) / ((uni[: self.vocabulary].sum() - np.repeat(long, long) * out_of) * by + PSEUDO * self.vocabulary)
+            out.append(-np.log(((n[where] - own_pair * out_of) * by + BACKOFF * behind) / ((uni[before] - own_before * out_of) * by + BACKOFF)))
         return out
 
 
+def _repeats(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each element, how often its text has it."""
+    _, inverse, n = np.unique(doc.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64), return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
 def _counter(vocabulary: int):
     size = vocabulary + 1
 
@@ -111,9 +124,10 @@ def _counter(vocabulary: int):
                     tables[t, vocabulary] += texts.sum()
         parts = [(t, k, tables[t, k * SLICE : (k + 1) * SLICE]) for t in range(2) for k in range(-(-size // SLICE))]
         parts = [(t, k, x.astype("<i8").tobytes()) for t, k, x in parts if x.any()]
+        salt = TaskContext.get().partitionId() % SALTS
         for at in range(0, len(parts), 64):
             t, k, x = zip(*parts[at : at + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["t", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array([salt] * len(t), pa.int32()), pa.array(x, pa.binary())], ["t", "k", "salt", "n"])
 
     return run
 
@@ -152,21 +166,22 @@ def _bigrams(vocabulary: int):
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    sums: dict[tuple[int, int, int], np.ndarray] = {}
     for batch in batches:
-        for t, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for t, k, salt, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = np.frombuffer(n, "<i8")
-            sums[t, k] = sums[t, k] + x if (t, k) in sums else x
-    for (t, k), n in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([k], pa.int32()), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["t", "k", "n"])
+            sums[t, k, salt] = sums[t, k, salt] + x if (t, k, salt) in sums else x
+    for key, n in sums.items():
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["t", "k", "salt", "n"])
 
 
 def fit(rows: DataFrame, vocabulary: int) -> Models:
-    """Both models' unigrams from encoded()."""
-    kind = "t int, k int, n binary"
+    """Both models' unigrams from encoded(): each slice of counts is summed up by salt, then over the salts."""
+    kind = "t int, k int, salt int, n binary"
     size = vocabulary + 1
     parts = rows.select("target", "ids").mapInArrow(_counter(vocabulary), kind)
-    summed = parts.repartition(2 * -(-size // SLICE), "t", "k").mapInArrow(_sum, kind)
+    slices = 2 * -(-size // SLICE)
+    summed = parts.repartition(slices * 4, "t", "k", "salt").mapInArrow(_sum, kind).withColumn("salt", F.lit(0)).repartition(slices, "t", "k").mapInArrow(_sum, kind)
     tables = [np.zeros(size), np.zeros(size)]
     for r in summed.toLocalIterator():
         tables[r["t"]][r["k"] * SLICE : (r["k"] + 1) * SLICE] = np.frombuffer(r["n"], "<i8")
@@ -177,7 +192,8 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of each row of docs(doc_id, text), losses as means in nats.
 
     target(doc_id) names the texts that the target model counts, repeated ids once. A null or empty text has 0 tokens and
-    null losses and score. Without target texts, its model is smoothing alone. Repeated rows and null ids each count and get
+    null losses and score. Each text's own counts are left out of both models; copies of it in other rows stay in. Without
+    other target texts, the target's model is smoothing alone. Repeated rows and null ids each count and get
     their row. Extra columns are ignored.
     """
     from tokenizers import Tokenizer
@@ -197,18 +213,19 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
         known, counts = known[order], [x[order] for x in counts]
         for batch in texts.to_batches():
             n, means = np.zeros(batch.num_rows, np.int64), np.full((2, batch.num_rows), np.nan)
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, ids, at in _slices(batch):
                 n[lo:hi] = np.diff(at)
                 full = np.flatnonzero(n[lo:hi])
                 if len(full):
-                    for k, loss in enumerate(models.losses(ids, at[:-1][full], known, counts)):
+                    for k, loss in enumerate(models.losses(ids, np.append(at[:-1][full], at[-1]), known, counts, target[lo + full])):
                         means[k, lo + full] = np.add.reduceat(loss, at[:-1][full], dtype=np.float64) / n[lo + full]
             none = n == 0
             cols = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
             every.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
         return pa.Table.from_batches(every, RESULT)
 
-    return rows.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.select("chunk", "doc_id", "target", "ids").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
