@@ -1,4 +1,7 @@
-"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
+"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score, and the score decides.
+
+The contract's four kinds stay whatever their score; of the other kinds, those without a checksum (identity and national
+telephone numbers) are weak proposals, which count only where words nearby lift them to MIN_SCORE.
 
 Native: regular expressions and array functions of Spark alone. A pattern's matches and the pieces of text between them
 give the places, as prefix sums of lengths (in code points), so every step is linear in the text. The patterns use
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinotable.llm import _text
 
-#: Kinds in their order, with pattern. The first four are the base; IBANs are added.
+#: Kinds in their order, with pattern. The first four are the base.
 PATTERNS = {
     # a run of local characters starts where the text or the last match ends or behind another character
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -21,21 +24,27 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # in one run or in groups of four
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ssn": r"(?<![A-Za-z0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9])",
+    "tel": r"(?<![A-Za-z0-9])0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold for a pattern to be tried.
-NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Words near a span that make it more likely.
+NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "tel": "0"}
+#: Words near a span that make it more likely, in either case; no letter or digit may stand before or behind.
 CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|contact|write|reach)\b",
-    "ip": r"(?i)\b(?:ip|address|host|server|client)\b",
-    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment)\b",
-    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|whatsapp)\b",
-    "iban": r"(?i)\b(?:iban|bank|account|konto|transfer)\b",
+    "email": "e-?mail|contact|write|reach",
+    "ip": "ip|address|host|server|client",
+    "card": "card|visa|mastercard|amex|credit|debit|payment",
+    "phone": "phone|tel|call|mobile|fax|whatsapp",
+    "iban": "iban|bank|account|konto|transfer",
+    "ssn": "ssn|social|security|identity",
+    "tel": "phone|tel|call|mobile|fax|whatsapp",
 }
 #: Score of a confirmed span, what a word nearby adds, and how many code points before and behind are near.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "tel": 0.4}
 NEARBY, REACH = 0.2, 40
+#: Least score of a span that isn't of the base.
+MIN_SCORE = 0.5
 
 _RUN = 256
 
@@ -106,10 +115,10 @@ def _found(kind: str) -> Column:
         start, byte = F.get(F.col(f"a_{kind}"), k) + F.length(F.get(p, k)), F.get(F.col(f"b_{kind}"), k) + F.octet_length(F.get(p, k))
         return F.struct(
             start.alias("start"), F.lit(list(PATTERNS).index(kind)).alias("order"), (start + F.length(x)).alias("end"), byte.alias("byte"), (byte + F.octet_length(x)).alias("end_byte"), F.lit(kind).alias("kind"),
-            (F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)).alias("score"), confirmed(kind, x).alias("ok"),
+            (F.lit(SCORES[kind]) + F.when(near.rlike(f"(?i)(?<![A-Za-z0-9])(?:{CONTEXT[kind]})(?![A-Za-z0-9])"), NEARBY).otherwise(0.0)).alias("score"), confirmed(kind, x).alias("ok"),
         )
 
-    return F.filter(F.transform(f"m_{kind}", span), lambda s: s["ok"])
+    return F.filter(F.transform(f"m_{kind}", span), lambda s: s["ok"] if kind in BASE else s["ok"] & (s["score"] >= MIN_SCORE))
 
 
 def find(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -135,8 +144,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """docs with each span that scores at least `min_score` replaced by its kind in angle brackets; overlapping spans become one, named by the first. Rows, columns and null texts stay; n_chars follows the text if it is there."""
+def _scores(spans: Column) -> Column:
+    """Scores in hundredths."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
+def redacted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs with each span that scores at least `min_score` replaced by its kind in angle brackets; overlapping spans become one, named by the first. Rows, repeated ones too, columns and null texts stay, an empty table stays empty; n_chars follows the text if it is there."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = find(packed, keep=["row"]).select("row", F.filter("pii", lambda s: s["score"] >= min_score).alias("s"))
     # the end of all spans before each; those that start before it add to what is merged so far
@@ -158,7 +172,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(_text.table(spark, sf_dir, "documents"), keep=["doc_id"])
     of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["order"] < len(BASE))
-    return found.select("doc_id", *(of(k) for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *(of(k) for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), _scores(F.col("pii")).alias("scores"))
 
 
 def brute(text: str | None) -> list[tuple[int, int, int, str]]:
@@ -180,7 +194,10 @@ def brute(text: str | None) -> list[tuple[int, int, int, str]]:
 
 def _sql() -> str:
     # boundaries of letters and digits: as \b once no underscore is left
-    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b"}
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "tel": r"\b0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}\b"}
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    near = f"translate(right(p[i], {REACH}) || ' ' || left(p[i + 1], {REACH}), {letters})"
+    score = "CASE kind " + " ".join(f"WHEN '{k}' THEN {round(x * 100)} + CASE WHEN regexp_matches({near}, '\\b(?:{CONTEXT[k]})\\b') THEN {round(NEARBY * 100)} ELSE 0 END" for k, x in SCORES.items()) + " END"
     kinds = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {n} AS ord, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d" for n, (k, p) in enumerate(plain.items()))
     total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda v: length(v))), 0)"
     join = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord){}, '')"
@@ -188,16 +205,16 @@ def _sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '_', '%') AS t FROM documents),
 m AS ({kinds}),
-s AS (SELECT r, kind, ord, m[i] AS x, ({total("p[1:i]")} + {total("m[1:i - 1]")})::BIGINT AS start, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, replace(m[i], ' ', '') AS compact
+s AS (SELECT r, kind, ord, m[i] AS x, ({total("p[1:i]")} + {total("m[1:i - 1]")})::BIGINT AS start, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, replace(m[i], ' ', '') AS compact, {score} AS score
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
-ok AS (SELECT r, kind, ord, start, start + length(x) AS stop FROM s WHERE CASE kind
+ok AS (SELECT r, kind, ord, start, start + length(x) AS stop, score FROM s WHERE (ord < {len(BASE)} OR score >= {round(MIN_SCORE * 100)}) AND CASE kind
   WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(try_cast(v AS BIGINT), 0) > 255)) = 0
   WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INTEGER ELSE reverse(digits)[i]::INTEGER * 2 - CASE WHEN reverse(digits)[i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
   WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(compact[5:] || compact[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INTEGER), lambda a, b: (a * 10 + b) % 97) = 1
   ELSE true END),
-g AS (SELECT r, {counts}, {join.format(f" FILTER (ord < {len(BASE)})")} AS base, {join.format("")} AS spans FROM ok GROUP BY r)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+g AS (SELECT r, {counts}, {join.format(f" FILTER (ord < {len(BASE)})")} AS base, {join.format("")} AS spans, coalesce(string_agg(score::VARCHAR, ',' ORDER BY start, ord), '') AS scores FROM ok GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (r)
 """
 
 
