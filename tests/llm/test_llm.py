@@ -293,6 +293,38 @@ def test_language_viterbi_and_shortcut():
         assert got == pytest.approx(best) and sum(n for *_, n in spans) == s.shape[1]
 
 
+def test_language_shortcut_is_the_best_path():
+    rnd, letters = random.Random(4), "abcdeé"
+    counts = np.random.default_rng(4).integers(0, 50, (3, langid.BUCKETS)).astype(float) ** 2
+    scripts = np.ones((3, len(langid._NAMES) + 1))
+    scripts[2, langid._NAMES.index("Cyrillic") + 1] = 1e6  # Cyrillic narrows to one language
+    model = langid.Model(["x", "y", "z"], counts, scripts)
+    assert 0 < model.allowed.sum() < model.allowed.size
+    texts = ["".join(rnd.choice([letters, "жш", letters])[rnd.randrange(2)] if rnd.random() < 0.8 else " " for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    words = langid.Words(np.frombuffer(data, np.uint8), offsets)
+    s, one = model.scores(words), 0
+    for k, spans in enumerate(model.label(words)):
+        own = s[:, words.before[k] : words.before[k + 1]]
+        total = lambda path: sum(own[x, a : a + n].sum() for x, a, n in path) - langid.SWITCH * (len(path) - 1)  # noqa: B023, E731
+        if own.shape[1]:
+            one += len(spans) == 1
+            assert total(spans) == pytest.approx(total(langid.viterbi(own)), abs=1e-2)
+    assert 20 < one < 300
+
+
+def test_language_samples_distinct_texts_of_many_languages(spark, monkeypatch):
+    rows = [("the same text again and again", "en")] * 3000 + [(f"another text number {k} with words", "en") for k in range(40)]
+    rows += [(f"text of language number {k} here", f"l{k:04d}") for k in range(600)]
+    monkeypatch.setattr(langid, "NUMBERS", 1 << 18)
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), 30)
+    assert len(model.langs) == 601 and model.logs.size <= 1 << 18
+    assert model.logs[0].max() - model.logs[0].min() > 1  # learned from several texts
+    got = langid.predict(spark.createDataFrame([("another text number 7 with words",)], "text string"), model).collect()
+    assert got[0].lang_pred in model.langs
+
+
 def test_language_edges(spark, docs, none):
     train = [(k, t, x) for k, (t, x) in enumerate([("the cat and the dog are here with them", "en"), ("der Hund und die Katze sind hier mit ihnen", "de"), ("кошка и собака здесь вместе с нами", "ru")] * 4)]
     model = langid.fit(spark.createDataFrame(train, "k long, text string, lang string"))
@@ -369,23 +401,22 @@ def test_lm_scores_against_brute_force(spark, docs, none):
     v = tok.get_vocab_size()
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
 
-    def bucket(a, b):
-        return ((a << 32 | b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44
-
-    for r, own in zip(rows, ids, strict=True):
-        for m in (0, 1) if r.doc_id in (20, 21, 22) else (0,):
+    own_target = [r.doc_id in (20, 21, 22) for r in rows]
+    for t, own in zip(own_target, ids, strict=True):
+        for m in (0, 1) if t else (0,):
             uni[m].update(own + ([v] if own else []))
-            bi[m].update(bucket(a, b) for a, b in zip([v, *own], own, strict=False))
+            bi[m].update(zip([v, *own], own, strict=False))
     total = [sum(n for t, n in u.items() if t != v) for u in uni]
     by = {0: total[1] / total[0], 1: 1.0}
     want = defaultdict(list)
-    for r, own in zip(rows, ids, strict=True):
-        loss = [0.0, 0.0]
+    for r, t, own in zip(rows, own_target, ids, strict=True):
+        loss, left, pairs = [0.0, 0.0], Counter([v, *own]), Counter(zip([v, *own], own, strict=False))
         for m in (0, 1):
+            out = 1 if m == 0 or t else 0  # a text's own counts are left out
             for a, b in zip([v, *own], own, strict=False):
-                p = (uni[m][b] * by[m] + lmscore.PSEUDO) / (total[m] * by[m] + lmscore.PSEUDO * v)
-                n = uni[m][a] * by[m]
-                loss[m] -= np.log((min(bi[m][bucket(a, b)] * by[m], n) + lmscore.BACKOFF * p) / (n + lmscore.BACKOFF))
+                p = ((uni[m][b] - left[b] * out) * by[m] + lmscore.PSEUDO) / ((total[m] - len(own) * out) * by[m] + lmscore.PSEUDO * v)
+                n = (uni[m][a] - left[a] * out) * by[m]
+                loss[m] -= np.log(((bi[m][a, b] - pairs[a, b] * out) * by[m] + lmscore.BACKOFF * p) / (n + lmscore.BACKOFF))
         want[r.doc_id].append((len(own), (loss[1] - loss[0]) / len(own) if own else None))
     for r in got:
         n, s = want[r.doc_id][0]
@@ -398,16 +429,11 @@ def test_lm_bigrams_are_exact(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "CHUNK", 1 << 16, raising=False)
     tok = Tokenizer.from_file(packing.tokenizer_path())
     v, rnd = tok.get_vocab_size(), random.Random(2)
-    rows = [(k, tok.decode([rnd.randrange(1000, v) for _ in range(400)])) for k in range(1000)]  # far more bigrams than a fixed table tells apart
-    ids = [tok.encode(t, add_special_tokens=False).ids for _, t in rows]
-    uni, bi = Counter(), Counter()
-    for own in ids:
-        uni.update([v, *own])
-        bi.update(zip([v, *own], own, strict=False))
-    total = sum(n for t, n in uni.items() if t != v)
-    want = [np.mean([-np.log((bi[a, b] + lmscore.BACKOFF * (uni[b] + lmscore.PSEUDO) / (total + lmscore.PSEUDO * v)) / (uni[a] + lmscore.BACKOFF)) for a, b in zip([v, *own], own, strict=False)]) for own in ids]
-    got = {r.doc_id: r for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k, _ in rows], "doc_id long")).collect()}
-    assert len(got) == len(rows) and all(got[k].background_loss == pytest.approx(want[k], abs=1e-4) == got[k].target_loss for k, _ in rows)
+    rows = [(k, tok.decode([rnd.randrange(1000, v) for _ in range(400)])) for k in range(300)]  # far more bigrams than a fixed table tells apart
+    rows += [(1000 + k, t) for k, t in rows[:30]]  # texts that occur twice
+    got = {r.doc_id: r.background_loss for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k, _ in rows], "doc_id long")).collect()}
+    twice = [got[k] for k in [*range(30), *range(1000, 1030)]]
+    assert len(got) == len(rows) and max(twice) < min(x for k, x in got.items() if 30 <= k < 300) - 1
 
 
 def test_lm_scores_tell_quality(spark, sf):
@@ -455,6 +481,30 @@ def test_pii_checks_and_context(spark):
     assert scores == pytest.approx([0.8, 0.6])
 
 
+def test_pii_context_decides_on_weak_proposals(spark):
+    rows = ["SSN 123-45-6789", "item 123-45-6789", "please call 030 1234 567 today", "part 030 1234 567 today", "xphone 030 1234 567", "phone" + " " * 60 + "030 1234 567", "from 10.0.0.1", "_tel_ 0301 123 4567"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.pii] for r in pii.find(df, ["doc_id"]).collect()}
+    assert got == {0: ["ssn"], 1: [], 2: ["tel"], 3: [], 4: [], 5: [], 6: ["ip"], 7: ["tel"]}
+    assert {r.doc_id: r.text for r in pii.redacted(df).collect()}[2] == "please call <TEL> today"
+    assert pii.redacted(df, 0.7).where("doc_id IN (0, 2, 6)").where("text LIKE '%<%'").count() == 0  # scores decide
+
+
+def test_pii_weak_proposals_against_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(12)
+    bits = ["phone ", "TEL ", "ssn:", "_", "030 1234 567", "0301/1234567", "123-45-6789", "a", " ", "é", ".", "call", " and so on for a while ", "b@c.d", "1.2.3.4", "host", "4111 1111 1111 1111", "\n"]
+    rows = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))) for k in range(1500)] + [(None, None), (1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(pii.SQL)
+    names = [c[0] for c in want.description]
+    got = pii.query(spark, str(tmp_path)).select(*names).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall()) and sum("tel" in r.spans for r in got) > 10 < sum("ssn" in r.spans for r in got)
+
+
 # licenses
 
 
@@ -469,7 +519,30 @@ def test_licenses(spark, docs, none):
     assert {x.label for x in got[5].found} == {"apache"}
     assert licenses.scan(docs, ["doc_id"]).count() == docs.count() and licenses.scan(none).count() == 0
     with pytest.raises(ValueError, match="templates"):
-        licenses.Index([("x", " ".join(f"w{k}" for k in range(99)))], {f"w{k}": 1 for k in range(99)})
+        licenses.Index([("x", " ".join(f"w{k}" for k in range(9999)))], {f"w{k}": 1 for k in range(9999)})
+    with pytest.raises(ValueError, match="names"):
+        licenses.scan(docs, ["found"])
+
+
+def test_license_blocks_slide_by_word(spark):
+    rnd = random.Random(7)
+    long = " ".join(f"t{k}" for k in range(45))  # a template of more words than half a block
+    templates = [("a", "one two three four five six seven eight nine ten"), ("b", "one two red blue green"), ("long", long), ("a", "x y")]
+    vocabulary = sorted({w for _, t in templates[:2] for w in t.split()}) + ["pad"] * 60 + ["x"]
+    rows = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 400)))) for k in range(120)]
+    spread = "one " + "pad " * 20 + "two three four " + "pad " * 20 + "five six seven " + "pad " * 9 + "eight"  # 57 words, over any grid
+    rows += [(200 + k, "pad " * k + spread + " pad" * 50) for k in range(0, 64, 7)] + [(300, "pad " * 40 + long + " pad" * 9), (301, long.replace("t3 ", "t3 pad ").replace("t30 ", "")), (302, "One TWO \u212Aelvin x Y" * 3)]
+    got = {r.doc_id: {(x.label, round(x.containment, 6)) for x in r.found} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], templates).collect()}
+    for k, text in rows:
+        words, want = "".join(c.lower() if c.isascii() else c for c in text).split(), set()
+        for label, t in templates:
+            parts = set(t.split())
+            reach = licenses.reach(len(t.split()))
+            best = max(len(parts & set(words[i : i + reach])) for i in range(len(words)))
+            if best >= licenses.need(len(parts)):
+                want.add((label, round(best / len(parts), 6)))
+        assert got[k] == want, k
+    assert all(any(x == "a" for x, _ in got[k]) for k in range(200, 264, 7)) and {x for x, _ in got[300]} == {x for x, _ in got[301]} == {"long"}
 
 
 @settings(max_examples=20, deadline=None)
