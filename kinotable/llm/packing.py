@@ -1,10 +1,11 @@
 """Packing along a space-filling curve.
 
-Each text becomes token ids, read through a bounded table of words, and a point: its hashed token vector projected to a
-few dimensions. Rows are range-partitioned and sorted by the Hilbert key of the point, so similar texts lie side by
-side, and each partition cuts its row of ids into full sequences; what is left at the end of a partition is cut into
-powers of two, which need no padding. Ids pass one shuffle, as binary; ranges are cut by key and document, so a large
-group of equal texts is spread over partitions.
+Each text becomes token ids, read through a bounded table of words, and a point: its hashed token vector, in which rare
+tokens weigh more, less what the whole corpus would have in its place, projected to a few dimensions. Partitions are
+ranges of the Hilbert key of the point that hold equal numbers of tokens, by a histogram of the curve, and are sorted by
+it, so similar texts lie side by side; a range that alone is too large, as of a large group of equal texts, is spread
+over several partitions. Each partition cuts its row of ids into full sequences; what is left at its end is cut into
+powers of two, which need no padding. Ids pass one shuffle, as binary.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -29,6 +31,10 @@ LENGTH = 2048
 END_ID = 1
 #: Dimensions of the curve and bits of each.
 DIMENSIONS, BITS = 4, 7
+#: Bits of a key that tell its bin in the histogram of the curve.
+BIN_BITS = 14
+#: Sums of directions are kept in whole numbers of this part, so that no order of adding changes them.
+UNIT = 1 << 16
 #: Id bytes that a partition of the curve is meant to hold, before the session's number of shuffle partitions.
 PARTITION_BYTES = 48 << 20
 #: Words whose ids a task remembers, and the longest such word.
@@ -122,9 +128,19 @@ def quick_merges(spec: str) -> dict[bytes, int] | None:
 
 
 def projection(n_ids: int, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A pseudo-random direction for each token id, from its hash."""
+    """For each token id: its weight times a pseudo-random direction from its hash, the weight, and its square. Ids of this kind of vocabulary are in the order of merges, frequent ones first, so the weight grows with the id."""
     h = _text.mixed(np.arange(1, n_ids * dimensions + 1, dtype=np.uint64))
-    return ((h >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(n_ids, dimensions)
+    directions = ((h >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(n_ids, dimensions)
+    weight = (np.log2(np.arange(n_ids) + 2) / np.log2(n_ids + 2)).astype(np.float32)[:, None] ** 3
+    return np.hstack([directions * weight, weight, weight**2])
+
+
+def positions(sums: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Keys on the curve of texts with these sums of projection() rows; centre: the corpus' sums. Less its share of the centre, and over its spread, a text's point is much the same for any length."""
+    of, weight, squares = np.split(sums / UNIT, [-2, -1], axis=1)
+    mean = centre[:-2] / max(centre[-2], 1e-9)
+    z = (of - weight * mean) / np.sqrt(np.maximum(squares, 1e-9) / 3)
+    return hilbert(np.minimum((1 << BITS) / (1 + np.exp(-np.clip(z, -30, 30))), (1 << BITS) - 1).astype(np.int64))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -154,7 +170,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, key (on the curve), tokens and ids (unsigned little-endian) of each row of docs(doc_id, text); the end id is in both."""
+    """doc_id, sums (of its tokens' rows of projection(), in UNIT), tokens and ids (unsigned little-endian) of each row of docs(doc_id, text); the end id is in all."""
     with open(path or tokenizer_path()) as f:
         spec = f.read()
     sent = docs.sparkSession.sparkContext.broadcast((spec, quick_merges(spec)))
@@ -165,12 +181,38 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
         directions = projection(encode.tokenizer.get_vocab_size(with_added_tokens=True))
         for batch in _text.parts(batches):
             ids = [encode(t.as_py()) + end for t in batch.column("text")]
-            means = np.array([directions[np.frombuffer(x, encode.dtype)[:-1]].mean(0) if len(x) > len(end) else np.zeros(DIMENSIONS) for x in ids], np.float64).reshape(-1, DIMENSIONS)
-            points = np.clip((means * 1.5 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+            sums = np.stack([directions[np.frombuffer(x, encode.dtype)].sum(0) for x in ids])
             tokens = np.array([len(x) for x in ids], np.int64) // len(end)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(points)), pa.array(tokens), pa.array(ids, pa.binary())], ["doc_id", "key", "tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, key long, tokens long, ids binary")
+            sums = np.round(sums.astype(np.float64) * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(sums), pa.list_(pa.int64())), pa.array(tokens), pa.array(ids, pa.binary())], ["doc_id", "sums", "tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, sums array<long>, tokens long, ids binary")
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (of encoded()) with key and part: partitions of about equal tokens along the curve. The histogram of the curve has 2**BIN_BITS bins whatever the rows."""
+    size = DIMENSIONS + 2
+    centre = rows.agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(size)), F.sum("tokens").alias("tokens")).first()
+    if centre["tokens"] is None:
+        return rows.select("doc_id", "tokens", "ids", F.lit(0).cast("long").alias("key"), F.lit(0).alias("part"))
+    middle = np.array([centre[f"s{k}"] for k in range(size)], np.float64)
+
+    @F.pandas_udf("long")
+    def keys(sums: pd.Series) -> pd.Series:
+        return pd.Series(positions(np.stack(sums.to_list()).astype(np.float64).reshape(-1, size), middle), dtype="int64")
+
+    shift = max(0, DIMENSIONS * BITS - BIN_BITS)
+    keyed = rows.select("doc_id", "tokens", keys("sums").alias("key"))
+    bins = sorted((r["bin"], r["n"]) for r in keyed.groupBy(F.shiftright("key", shift).alias("bin")).agg(F.sum("tokens").alias("n")).toLocalIterator())
+    each, before, table = centre["tokens"] / parts, 0, []
+    for at, n in bins:
+        first, last = min(parts - 1, int(before / each)), min(parts - 1, int((before + n - 1) / each))
+        before += n
+        table.append((at, first, last - first + 1 if n >= each else 1))  # a bin that several partitions need is spread over them
+    starts = rows.sparkSession.createDataFrame(table, "bin long, first int, spread int")
+    wide = rows.select("doc_id", "tokens", "ids", keys("sums").alias("key")).withColumn("bin", F.shiftright("key", shift)).join(F.broadcast(starts), "bin")
+    part = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens", "key"), F.col("spread")).cast("int")
+    return wide.select("doc_id", "tokens", "ids", "key", part.alias("part"))
 
 
 def _packer(length: int):
@@ -238,9 +280,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     rows = _text.settled(encoded(docs, path, end_id))
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.col("tokens"))).first()[0] or 0
-    parts = max(1, -(-2 * total // PARTITION_BYTES))
-    dealt = rows.repartitionByRange(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key", "doc_id", "tokens").sortWithinPartitions("key", "doc_id", "tokens")
-    return dealt.select("doc_id", "tokens", "ids").mapInArrow(_packer(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    parts = max(1, -(-2 * total // PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = dealt(rows, parts).repartitionById(parts, "part").sortWithinPartitions("key", "doc_id", "tokens")
+    return placed.select("doc_id", "tokens", "ids").mapInArrow(_packer(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

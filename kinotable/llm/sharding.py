@@ -48,7 +48,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(docs: DataFrame, key: str = "doc_id", keep: list[str] = (), shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """`keep` columns, slot and shard of each row of docs. Rows of equal key, repeated ones and null keys included, share a shard. Columns in `keep` may not be named as those added."""
+    """`keep` columns, slot and shard of each row of docs. Rows of equal key, repeated ones and null keys included, share a shard. Columns in `keep` may not be named as those added (an error). An empty table gives no rows."""
+    if clash := {*keep} & {"slot", "shard"}:
+        raise ValueError(f"names that place() adds itself: {sorted(clash)}")
     table = docs.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(lookup(shards, slots))], "slot long, shard string")
     rows = docs.select(*keep, slot_of(F.col(key), slots).alias("slot"))
     return rows.join(F.broadcast(table), "slot").select(*keep, "slot", "shard")

@@ -680,6 +680,27 @@ def test_hilbert_steps_are_neighbours(dimensions, bits):
     assert sorted(keys) == list(range(len(points))) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_packing_ranges_hold_equal_tokens(spark):
+    rnd = random.Random(3)
+    rows = [(k, "the same long text over and over " * 30) for k in range(400)]  # a third of all tokens and more at one place of the curve
+    rows += [(1000 + k, " ".join(rnd.choice(["stone", "river", "tree", "x", "été", "Haus"]) for _ in range(rnd.randint(1, 900)))) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = 12
+    held = packing.dealt(packing.encoded(df), parts).groupBy("part").agg(F.sum("tokens").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).orderBy("part").collect()
+    mean = sum(r.n for r in held) / parts
+    assert max(r.n for r in held) < 1.6 * mean and len(held) > 8
+    assert all(x.b <= y.b and x.a <= y.a for x, y in zip(held, held[1:]))  # ranges of the curve
+
+
+def test_packing_puts_like_texts_together(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400")
+    topics = {r.doc_id: r.lang for r in docs.collect()}
+    order = [r.doc_id for r in packing.dealt(packing.encoded(docs), 1).orderBy("key", "doc_id").select("doc_id").collect()]
+    together = sum(topics[a] == topics[b] for a, b in zip(order, order[1:])) / (len(order) - 1)
+    chance = sum((n / len(order)) ** 2 for n in Counter(topics[k] for k in order).values())
+    assert together > chance + 0.3
+
+
 # pipeline
 
 
