@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from kinotable.operators import kernels
 from kinotable.sources import boxes as box_scan
 from kinotable.sources.boxes import MAX_ENTRIES, MAX_SAMPLES
 from kinotable.sources.config import parse_stsd
-from kinotable.sources.shared import settled
+from kinotable.sources.shared import observed, settled
 
 SAMPLES = ["file", "track_id", "kind", "timescale", "sample_no", "offset", "size", "pts", "dts", "duration", "is_key", "fragment_seq"]
 _HUGE = (1 << 63) - 1
@@ -50,11 +51,16 @@ def _entries(name: str, step: int, base: int = 8) -> Column:
     return p.isNotNull() & ((F.octet_length(p) < base) | (count > MAX_ENTRIES) | (count > F.floor((F.octet_length(p) - base) / step)))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value read once: a lambda that names a column of the row would copy its bytes for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _table(name: str, step: int, *fields: Column, base: int = 8) -> Column:
     """Array over the entries of a table; `fields` are functions of the entry's place."""
     p = F.col(name)
     count = unsigned(p, base - 4, 4)
-    at = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda k: F.struct(*(f(p, k * step + base).alias(n) for n, f in fields)))
+    at = _bound(p, lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda k: F.struct(*(f(b, k * step + base).alias(n) for n, f in fields))))
     return F.when(count > 0, at).otherwise(F.array().cast(f"array<struct<{','.join(f'{n}:bigint' for n, _ in fields)}>>"))
 
 
@@ -99,7 +105,7 @@ def _progressive(tracks: DataFrame) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, r: s + r["n"])
     constant, n = unsigned("stsz", 4, 4), F.col("n_samples")
     index = F.sequence(F.lit(0).cast("bigint"), n - 1)
-    sizes = F.when(n == 0, F.array().cast("array<bigint>")).when(constant == 0, F.transform(index, lambda k: unsigned("stsz", k * 4 + 12, 4))).otherwise(F.array_repeat(constant, n.cast("int")))
+    sizes = F.when(n == 0, F.array().cast("array<bigint>")).when(constant == 0, _bound(F.col("stsz"), lambda b: F.transform(index, lambda k: unsigned(b, k * 4 + 12, 4)))).otherwise(F.array_repeat(constant, n.cast("int")))
     big = lambda p, at: F.when(unsigned64(p, at) <= _HUGE, unsigned64(p, at)).cast("bigint")
     offsets = F.when(F.col("stco").isNotNull(), _table("stco", 4, ("at", _u32()))).otherwise(_table("co64", 8, ("at", big)))
     shift = lambda p, at: F.when(version(p) == 1, signed32(p, at + 4)).otherwise(unsigned(p, at + 4, 4))
@@ -123,17 +129,24 @@ def _progressive(tracks: DataFrame) -> DataFrame:
         ((n > 0) & ((n_chunks == 0) | (F.size("chunks") == 0)), "chunk_tables_missing"), ((n > 0) & (described > n), "stsc_more_samples"), ((n > 0) & (described < n), "stsc_fewer_samples"),
     )
     # a rule about a table that isn't there holds for it
-    t = t.withColumn("violation", F.when(F.col("shifts").isNull() & F.col("sync").isNull() & F.lit(False), F.lit("")).otherwise(rule))
+    t = t.withColumn("violation", rule)
     good = F.col("violation").isNull() & (n > 0)
     per_chunk = F.flatten(F.transform("mapped", lambda m: F.array_repeat(m["n"], m["chunks"].cast("int"))))
     chunk = F.flatten(F.transform(per_chunk, lambda c, k: F.array_repeat(k.cast("bigint"), c.cast("int"))))
-    keys = F.map_from_entries(F.transform(F.array_distinct("sync"), lambda s: F.struct(s["at"], F.lit(True))))
-    t = t.withColumns({"d": F.when(good, runs("durations", "v")), "s": F.when(good & F.col("shifts").isNotNull(), runs("shifts", "v")), "c": F.when(good, chunk), "o": F.transform("offsets", lambda o: o["at"]), "keys": F.when(F.col("sync").isNotNull(), keys)})
-    row = F.explode_outer(F.when(good, F.transform("sizes", lambda z, k: F.struct(
-        (k + 1).cast("int").alias("sample_no"), z.alias("size"), F.get(F.col("d"), k).alias("duration"), F.coalesce(F.get(F.col("s"), k), F.lit(0)).alias("shift"),
-        F.get(F.col("c"), k).alias("chunk"), F.get(F.col("o"), F.get(F.col("c"), k).cast("int")).alias("chunk_offset"),
-        (F.col("keys").isNull() | F.coalesce(F.try_element_at(F.col("keys"), (k + 1).cast("bigint")), F.lit(False))).alias("is_key"),
-    ))))
+    t = t.withColumn("listed", F.when(good & F.col("sync").isNotNull(), F.sort_array(F.array_distinct(F.transform("sync", lambda s: s["at"])))))
+    # a mark for each sample up to the last that is listed, in one pass over the list and the list moved on by one
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.col("listed"))
+    gaps = F.zip_with("listed", F.slice(before, F.lit(1), F.size("listed")), lambda v, u: (v - u - 1).cast("int"))
+    keys = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    t = t.withColumns({"d": F.when(good, runs("durations", "v")), "s": F.when(good & F.col("shifts").isNotNull(), runs("shifts", "v")), "c": F.when(good, chunk), "o": F.transform("offsets", lambda o: o["at"]), "keys": keys})
+    # the arrays are bound to one variable: a column that a lambda names could be made anew for each element
+    arrays = F.struct("sizes", "d", "s", "c", "o", "keys")
+    of_sample = lambda x, z, k: F.struct(
+        (k + 1).cast("int").alias("sample_no"), z.alias("size"), F.get(x["d"], k).alias("duration"), F.coalesce(F.get(x["s"], k), F.lit(0)).alias("shift"),
+        F.get(x["c"], k).alias("chunk"), F.get(x["o"], F.get(x["c"], k).cast("int")).alias("chunk_offset"),
+        (x["keys"].isNull() | F.coalesce(F.get(x["keys"], k), F.lit(False))).alias("is_key"),
+    )
+    row = F.explode_outer(F.when(good, _bound(arrays, lambda x: F.transform(x["sizes"], lambda z, k: of_sample(x, z, k)))))
     s = t.select("file", "track_id", "handler", "timescale", "file_size", "trak_start", "violation", row.alias("r")).select("*", "r.*")
     s = kernels.exclusive_sum(s, ["file", "trak_start", "chunk"], ["sample_no"], "size", "in_chunk")
     s = kernels.exclusive_sum(s, ["file", "trak_start"], ["sample_no"], "duration", "dts")
@@ -195,11 +208,13 @@ def _fragmented(boxes: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFra
         (F.octet_length("payload") < 8, "trun_truncated"), (~F.col("v").isin(0, 1), "trun_version"), (F.col("upto") > MAX_SAMPLES, "sample_count"), (got(1) & F.col("shifted").isNull(), "trun_truncated"),
         (got(4) & got(0x400), "trun_two_flags"), (got(4) & F.col("first_flags").isNull(), "trun_truncated"), (F.col("n") * F.col("stride") > F.octet_length("payload") - F.col("base_at"), "trun_entries"),
     ))
-    own = lambda bit, k, read=unsigned: F.when(got(bit), read("payload", F.col("base_at") + k * F.col("stride") + place(bit), 4) if read is unsigned else read("payload", F.col("base_at") + k * F.col("stride") + place(bit)))
-    shift = lambda k: F.when(F.col("v") == 1, own(0x800, k, signed32)).otherwise(own(0x800, k))
-    each = F.explode_outer(F.when(F.col("run_violation").isNull() & (F.col("n") > 0), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda k: F.struct(
-        k.alias("k"), own(0x100, k).alias("duration"), own(0x200, k).alias("size"), own(0x400, k).alias("flags"), F.coalesce(shift(k), F.lit(0)).alias("shift"),
-    ))))
+    runs = runs.withColumns({f"has_{b}": got(b) for b in (0x100, 0x200, 0x400, 0x800)} | {f"at_{b}": F.col("base_at") + place(b) for b in (0x100, 0x200, 0x400, 0x800)})
+    field_at = lambda bit, k: F.col(f"at_{bit}") + k * F.col("stride")
+    own = lambda b, bit, k: F.when(F.col(f"has_{bit}"), unsigned(b, field_at(bit, k), 4))
+    shift = lambda b, k: F.when(F.col("v") == 1, F.when(F.col("has_2048"), signed32(b, field_at(0x800, k)))).otherwise(own(b, 0x800, k))
+    entry = lambda b, k: F.struct(k.alias("k"), own(b, 0x100, k).alias("duration"), own(b, 0x200, k).alias("size"), own(b, 0x400, k).alias("flags"), F.coalesce(shift(b, k), F.lit(0)).alias("shift"))
+    entries = _bound(F.col("payload"), lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda k: entry(b, k)))
+    each = F.explode_outer(F.when(F.col("run_violation").isNull() & (F.col("n") > 0), entries))
     s = runs.select("file", "moof_start", "traf_start", "trun_start", "shifted", "first_flags", "run_violation", F.when(got(1), F.col("trun_start")).alias("jump"), each.alias("r")).select("*", "r.*").drop("r")
     s = s.join(parts.select("file", "traf_start", "track_id", "handler", "timescale", "base", "decode_time", "h_duration", "h_size", "h_flags", "trex", F.col("violation").alias("traf_violation")), ["file", "traf_start"])
     s = s.join(moofs.select("file", "moof_start", "seq", "data_start", "data_end"), ["file", "moof_start"])
@@ -228,16 +243,28 @@ def _fragmented(boxes: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFra
     return s.withColumn("fragment_seq", F.col("seq")), broken.where("violation IS NOT NULL")
 
 
+_held: list[tuple[SparkSession, str]] = []
+_lock = Lock()
+
+
 @contextmanager
 def _keyed_by_file(spark: SparkSession) -> Iterator[None]:
-    """While a table is written: rows that lie together by file needn't be dealt anew for joins by file and more."""
+    """While tables are written: rows that lie together by file needn't be dealt anew for joins by file and more. The option goes back when the last of several threads is done."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    with _lock:
+        _held.append((spark, spark.conf.get(name) if not _held else _held[0][1]))
+        spark.conf.set(name, "false")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _lock:
+            own, before = _held.pop()
+            if not _held:
+                own.conf.set(name, before)
+
+
+#: Tables of a track without samples: entries alone, no rules that they could break.
+_NO_TABLES = "n_samples = 0 AND octet_length(stts) = 8 AND octet_length(stsc) = 8 AND octet_length(coalesce(stco, co64)) = 8 AND ctts IS NULL AND stss IS NULL"
 
 
 def decode(boxes: DataFrame, mode: str = "permissive", settle: bool = True) -> Media:
@@ -251,19 +278,31 @@ def decode(boxes: DataFrame, mode: str = "permissive", settle: bool = True) -> M
         with _keyed_by_file(df.sparkSession):
             return settled(df)
 
+    tables = fragments = 1  # whether any file may have sample tables, or movie fragments; else these aren't planned at all
+    if settle:
+        boxes, seen = observed(boxes, F.count(F.when(F.col("moof_start").isNotNull() | (F.col("type") == "moof"), 1)).alias("n"))
+        boxes, fragments = boxes.repartition("file"), seen["n"]
+    tracks, is_media = _tracks(boxes), F.col("handler").isin("vide", "soun")
     if settle:
-        boxes = settled(boxes).repartition("file")
-    tracks = keep(_tracks(boxes))
+        with _keyed_by_file(boxes.sparkSession):
+            tracks, seen = observed(tracks, F.count(F.when(is_media & ~F.coalesce(F.expr(_NO_TABLES), F.lit(False)), 1)).alias("n"))
+        tables = seen["n"]
     sound = tracks.where("violation IS NULL")
-    media = sound.where(F.col("handler").isin("vide", "soun"))
-    progressive, (fragmented, broken) = _progressive(media), _fragmented(boxes, sound)
+    media = sound.where(is_media)
     kind = F.when(F.col("handler") == "vide", "video").otherwise("audio").alias("kind")
-    found = progressive.select("*", kind).select(*SAMPLES, "violation").unionByName(fragmented.select("*", kind).select(*SAMPLES, "violation"))
-    found = keep(found.where("sample_no IS NOT NULL OR violation IS NOT NULL"))
+    shape = lambda df: df.select("*", kind).select(*SAMPLES, "violation").where("sample_no IS NOT NULL OR violation IS NOT NULL")
+    parts, broken = [], []
+    if tables or not fragments:
+        parts.append(shape(_progressive(media)))
+    if fragments:
+        fragmented, wrong = _fragmented(boxes, sound)
+        parts.append(shape(fragmented))
+        broken.append(wrong)
+    found = keep(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0])
     top = boxes.groupBy("file").agg(F.count(F.when((F.col("type") == "moov") & (F.col("depth") == 0), 1)).alias("moov"), F.max("violation").alias("violation"))
     wrong = [
         top.select("file", F.coalesce("violation", F.when(F.col("moov") == 0, "moov_missing").when(F.col("moov") > 1, "moov_repeated")).alias("violation")),
-        tracks.select("file", "violation"), found.select("file", "violation"), broken,
+        tracks.select("file", "violation"), found.select("file", "violation"), *broken,
         tracks.where(F.col("handler").isin("vide", "soun")).groupBy("file", "handler").count().where("count > 1").select("file", F.concat(F.when(F.col("handler") == "vide", "video").otherwise("audio"), F.lit("_tracks")).alias("violation")),
     ]
     every = wrong[0]

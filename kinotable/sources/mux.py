@@ -21,6 +21,7 @@ from kinotable.functions.timing import TICKS
 from kinotable.operators import kernels
 from kinotable.operators.payload import annex_b, prefixed
 from kinotable.sources.config import nal_units
+from kinotable.sources.shared import settled
 
 LAYOUTS = ("progressive", "faststart", "fragmented")
 #: Encoded bytes that a fragment may gather before its next key frame.
@@ -229,7 +230,8 @@ def encode(video_input: DataFrame, audio_input: DataFrame, configs: DataFrame, l
         wrong = wrong.unionByName(large.select("file", F.lit("fragment_too_large").alias("code")))
     else:
         samples = kernels.physical_order(samples, ["file"], "submit_no", F.col("kind")).withColumn("fragment_id", F.lit(None).cast("bigint"))
-    wrong = wrong.distinct()
+    # written once, so that the rules' plan isn't part of that of the samples
+    wrong = settled(wrong.distinct())
     return samples.join(wrong.select("file").distinct(), "file", "left_anti"), wrong
 
 

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-#: Where the session names no folder, as in tests.
-FALLBACK = "/tmp/checkpoints"
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. On one machine, as in tests, a folder of its own if that is unset; elsewhere an error."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, as a table in spark.checkpoint.dir: later steps and lost executors read it instead of computing it again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
-    path = f"{folder}/{uuid.uuid4().hex}"
+    """The same rows, as a table in the shared folder: later steps and lost executors read it instead of computing it again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, *counts: Column) -> tuple[DataFrame, dict]:
+    """As settled(), with aggregates that the writing tasks make on the way, by their names."""
+    seen = Observation()
+    return settled(df.observe(seen, *counts)), seen.get

@@ -51,6 +51,8 @@ class Fragmenter:
         if not own:
             return
         video = [s for s in own if s["kind"] == "video"]
+        if not video and until is not None:  # what waits goes on with the next fragment
+            return
         if not video or not video[0]["is_key"]:
             yield self._fail("fragment_without_key")
             return

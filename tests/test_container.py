@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinotable.operators import payload
 from kinotable.sources import boxes, datasource, media, mux
+from kinotable.sources.shared import settled
 from kinotable.streaming.fragmenter import INPUT, Fragmenter, fragment_stream
 
 H264 = {"codec": "H264", "vps": None, "sps": bytes([0x67, 0x42, 0, 0x1E]), "pps": bytes([0x68, 0xCE, 6, 0xE2]), "nal_length_size": 4, "width": 16, "height": 16}
@@ -265,6 +266,27 @@ def test_stream_rules():
     assert run({}, most=1000) == ["fragment_too_large"]
 
 
+def test_key_frames_of_one_decode_time():
+    rows = [("a", 0, "audio", b"x", 0, 0, 10, False), ("a", 1, "video", b"\x65a", 5, 5, 10, True), ("a", 2, "video", b"\x65b", 6, 5, 10, True), ("a", 3, "video", b"\x41c", 15, 15, 10, False), ("a", 4, "end", None, None, None, None, None)]
+    names = ("file", "submit_no", "kind", "data", "pts_ticks", "dts_ticks", "duration_ticks", "is_key")
+    one = Fragmenter(H264, AAC, 1 << 20, ("v", "a"))
+    out = [x for r in rows for x in one.push(dict(zip(names, r, strict=True)))]
+    assert [(n, code) for n, _, code in out] == [(0, None), (1, None)]  # one fragment, as kernels.fragments() has it
+
+
+def test_many_key_samples_in_linear_time(spark):
+    import time
+
+    n = 200_000
+    video = spark.range(n).select(F.lit("big").alias("file"), F.col("id").alias("submit_no"), F.when(F.col("id") % 2 == 0, F.lit(b"\x65a")).otherwise(F.lit(b"\x41b")).alias("data"), *((F.col("id") * 400000).alias(f"{k}_ticks") for k in ("pts", "dts")), F.lit(400000).cast("long").alias("duration_ticks"), (F.col("id") % 2 == 0).alias("is_key"))
+    audio = spark.createDataFrame([], f"file string, submit_no long, data binary, {TIMES}")
+    files, _ = mux.mux(video, audio, spark.createDataFrame([("big", H264, AAC)], CONFIG), "progressive")
+    files = settled(files)
+    began = time.perf_counter()
+    found = media.decode(boxes.scan(files)).samples
+    assert found.where("is_key = (sample_no % 2 = 1)").count() == n and time.perf_counter() - began < 60
+
+
 def test_data_source(spark, written, tmp_path):
     datasource.register(spark)
     of(spark, written).write.format("mp4").mode("append").save(str(tmp_path))
