@@ -151,7 +151,8 @@ _PTS = f"(dts + CASE kind WHEN 'video' THEN greatest(-put_at, (sample_id % 3 - 1
 SQL = {
     "h265_progressive": f"WITH {_IN}, timed AS (SELECT *, {_CONTIGUOUS} FROM sized) SELECT file, kind, sample_no, {_H265_SIZE}, dts, {_PTS}, duration, kind = 'audio' OR is_key AS is_key FROM timed",
     "h265_fragmented": f"WITH {_IN} SELECT file, kind, sample_no, {_H265_SIZE}, dts, {_PTS}, duration, kind = 'audio' OR is_key AS is_key FROM placed",
-    "broken_files": f"""WITH {_IN} SELECT file, code FROM (SELECT DISTINCT file FROM sized) JOIN (VALUES (1, 'box_exceeds_parent'), (1, 'sample_outside_file'), (2, 'moov_missing'), (3, 'box_header_incomplete'), (4, 'moov_repeated')) v(k, code) ON file % 5 = k""",
+    "broken_files": f"""WITH {_IN} SELECT file, code FROM (SELECT DISTINCT file FROM sized) JOIN (VALUES (1, 'box_exceeds_parent'), (2, 'moov_missing'), (3, 'box_header_incomplete'), (4, 'moov_repeated')) v(k, code) ON file % 5 = k
+UNION ALL SELECT DISTINCT file, kind || '_tracks' FROM sized WHERE file % 5 = 4""",
     "stored_files": _PROGRESSIVE,
     "stream_fragments": _FRAGMENTED,
     "mux_demux_progressive": _PROGRESSIVE,

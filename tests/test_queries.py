@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from kinotable.plans import containers, tables
@@ -21,3 +26,14 @@ def test_entry(spark, sf):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_the_rest_works_without_training_data_operators(tmp_path):
+    here = Path(__file__).parent.parent
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    said = "import __spark_entry__ as e; q = e.queries(); assert q.keys() == e.oracle_sql().keys() and 'pipeline' not in q; print(len(q))"
+    for name in ("corpus_pipeline.py", ""):  # there, and gone too
+        out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120, check=True)
+        assert int(out.stdout) == len(tables.QUERIES) + len(containers.QUERIES)
+        if name:
+            (tmp_path / "copy" / name).unlink()
