@@ -374,15 +374,16 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     # keys that one node alone has lead nowhere
     every = nodes.select("node", "n", "usual", F.posexplode("keys").alias("at", "key"))
-    shared = every.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(F.struct("usual", "node", "n", "at")).alias("head")).where("a <> b").select("key", "head")
-    members = _text.settled(every.join(shared, "key").select("key", "node", "n", "at", "head"))
+    shared = every.groupBy("key").count().where("count > 1").select("key")
+    members = _text.settled(every.join(shared, "key").select("key", "node", "n", "usual", "at"))
 
     # first, each node and the most usual nodes that it meets: by fingerprints, and by keys
     cut = segments(n)
     asked, held = (nodes.select("node", "fp", "usual", F.explode(_ways(cut, side)).alias("at")) for side in (0, 1))
     heads = held.groupBy("at").agg(F.max(F.struct("usual", "node", "fp")).alias("head"))
     close = asked.join(heads, "at").where((F.col("node") != F.col("head.node")) & _near(F.col("fp"), F.col("head.fp"), DISTANCE)).select("node", "head.usual", F.col("head.node").alias("v"), F.lit(1).alias("kind"))
-    meet = members.where((F.col("node") != F.col("head.node")) & can(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))).select("node", "head.usual", F.col("head.node").alias("v"), F.lit(2).alias("kind"))
+    heads = members.groupBy("key").agg(F.max(F.struct("usual", "node", "n", "at")).alias("head"))
+    meet = members.drop("usual").join(heads, "key").where((F.col("node") != F.col("head.node")) & can(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))).select("node", "head.usual", F.col("head.node").alias("v"), F.lit(2).alias("kind"))
     met = close.unionByName(meet).groupBy("node", "kind", "v").agg(F.max("usual").alias("usual"), F.count("*").alias("n"))
     best = met.groupBy("node", "kind").agg(F.max_by("v", F.struct("usual", "v")).alias("a"), F.max_by("v", F.struct("n", "v")).alias("b"))
     pairs = best.select("node", F.explode(F.array("a", "b")).alias("v")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
