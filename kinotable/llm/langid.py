@@ -26,6 +26,8 @@ from kinotable.llm import _text
 TRAIN_TEXTS = 2000
 #: Trigram hashes, and numbers in a model: with more languages than these allow, trigrams share fewer hashes.
 BUCKETS, NUMBERS = 1 << 16, 1 << 24
+#: Languages whose shares may be broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 #: Log probability that a switch of language costs.
 SWITCH = 12.0
 #: A script belongs to a language if at least this share of its words is in it.
@@ -190,7 +192,8 @@ def fit(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     have = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n"))
     shares = have.select("lang", F.least(F.lit(1 << 30), F.ceil(F.lit(float(texts) * (1 << 30)) / F.greatest("n", F.lit(1)))).alias("share"))
-    sample = rows.join(shares, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share")).select("text", "lang").dropDuplicates(["lang", "text"])
+    shares, n = _text.counted(shares)
+    sample = rows.join(F.broadcast(shares) if n <= BROADCAST_LANGUAGES else shares, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share")).select("text", "lang").dropDuplicates(["lang", "text"])
     counts = sample.mapInArrow(_counting, _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(counts.column("lang").unique().to_pylist())
     buckets = BUCKETS
