@@ -48,11 +48,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder."""
+    """All stages over documents, each written to the shared folder; what a stage read, and what it settled on its way, is removed once its rows are written. The last stage's rows stay."""
     docs = _text.table(spark, sf_dir, "documents")
     folder = f"{_text.shared_folder(spark)}/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with _text.passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            _text.removed(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
 

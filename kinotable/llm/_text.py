@@ -15,6 +15,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 #: Text bytes that a vectorised step takes at once, unless one text alone is longer.
 SLICE_BYTES = 1 << 19
 
+#: Where settled tables go within passing().
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
+
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -115,6 +119,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of whatever file system holds it, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Within it, settled tables go to a folder of their own, which is removed at the end: what they lead to must be written by then."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    token = _passing.set(folder)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        removed(spark, folder)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that no later step or lost executor computes them again."""
     return counted(df)[0]
@@ -123,6 +145,6 @@ def settled(df: DataFrame) -> DataFrame:
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """As settled(), with the number of rows, which the writing tasks count."""
     spark, seen = df.sparkSession, Observation()
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_passing.get() or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -30,6 +30,8 @@ SEED = 42
 NEAR_SIMILARITY, NEAR_SHINGLE = 0.8, 5
 #: Texts by which frequent shingles are told, and how many of these at most; both only order the search.
 SAMPLE, FREQUENT = 20_000, 1 << 19
+#: Texts that search by a key beyond which it counts as frequent, though the sample doesn't tell.
+CROWD = 100
 #: Edges that one task joins.
 EDGES = 1 << 20
 #: Comparisons of two fingerprints that take as long as a row of the join.
@@ -311,15 +313,15 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
-def _keyed(texts: DataFrame, similarity: float) -> DataFrame:
+def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual and keys of each row of texts(doc_id, text).
 
     Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
     least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
     leaves what many texts share to those that hold little else. usual: how frequent the text's shingles are on average;
-    of near copies, those with the fewest changes have the most.
+    of near copies, those with the fewest changes have the most. frequent: frequent shingles, sorted, and how frequent.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
@@ -340,6 +342,34 @@ def _keyed(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, usual float, keys array<long>")
 
 
+def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """nodes, and (key, count) of the keys that several of them have, when no more than CROWD nodes search by a key that `frequent` lacks, as far as FREQUENT such keys go.
+
+    A crowded key moves behind all that nothing is known of and before those of the sample, in the order of all texts.
+    It only moves back, so a text that doesn't search by it keeps its keys; the others get theirs anew. The order stays
+    one for all texts, so every pair is still found. What takes a crowded key's place may be crowded in turn: hence rounds.
+    """
+    grams, counts = frequent[0], frequent[1].astype(np.float64)
+    room = FREQUENT
+    while True:
+        held = _text.settled(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
+        known = nodes.sparkSession.createDataFrame(pa.table({"key": grams.view(np.int64)}))
+        crowd = held.where(F.col("count") > CROWD).join(F.broadcast(known), "key", "left_anti")
+        found = crowd.orderBy(F.desc("count"), "key").limit(room).toArrow() if room else None
+        if not found:
+            return nodes, held
+        room -= found.num_rows
+        grams = np.concatenate([grams, found.column("key").to_numpy().view(np.uint64)])
+        counts = np.concatenate([counts, 1 + found.column("count").to_numpy() / (1 << 53)])
+        order = np.argsort(grams)
+        grams, counts = grams[order], counts[order]
+        moved = nodes.sparkSession.createDataFrame(found.select(["key"]))
+        asked, n = _text.counted(nodes.select("t", F.explode("keys").alias("key")).join(F.broadcast(moved), "key", "left_semi").select("t").distinct())
+        again = texts.withColumn("t", F.xxhash64("text")).join(_few(asked, n), "t", "left_semi").dropDuplicates(["t"]).select("doc_id", "text")
+        keys = _keyed(again, similarity, (grams, counts)).select("node", F.col("keys").alias("other"))
+        nodes = _text.settled(nodes.join(keys, "node", "left").withColumn("keys", F.coalesce("other", "keys")).drop("other"))
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _text.parts(batches, 100):
         sets = [grams for grams, _ in _sets(batch.column("text"))]
@@ -364,7 +394,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, node) of each row of docs(doc_id, text), and (node, doc_id, t) of the row that stands for the group of each node: the smallest doc_id, then the smallest t; null if the group has no doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = _text.settled(_keyed(texts, similarity))
+    frequent = _frequent(texts)
+    rows = _text.settled(_keyed(texts, similarity, frequent))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))
     nodes, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("keys").alias("keys"), F.min(own).alias("rep")))
 
@@ -373,9 +404,9 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         return F.least(n - at, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     # keys that one node alone has lead nowhere
+    nodes, shared = _uncrowded(nodes, texts, similarity, frequent)
     every = nodes.select("node", "n", "usual", F.posexplode("keys").alias("at", "key"))
-    shared = every.groupBy("key").count().where("count > 1").select("key")
-    members = _text.settled(every.join(shared, "key").select("key", "node", "n", "usual", "at"))
+    members = _text.settled(every.join(shared.select("key"), "key").select("key", "node", "n", "usual", "at"))
 
     # first, each node and the most usual nodes that it meets: by fingerprints, and by keys
     cut = segments(n)

@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out rows, with nulls, empty and repeated rows and clashing columns."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinotable.llm import decontaminate, langid, licenses, lmscore, packing, pii, queries, sharding, simhash, tokencount, topk
+from kinotable.llm import _text, decontaminate, langid, licenses, lmscore, packing, pii, queries, sharding, simhash, tokencount, topk
 
 WORDS = "alpha beta gamma delta eins zwei drei été ñu Apache License mit general public 中文 x1 --- 42".split(" ")
 ODD = [None, "", " ", "\n\n", "!!", "A", "É", "x" * 5000, "word " * 30000, "\0 \t", "😀", "same text here", "same text here"]
@@ -251,6 +252,24 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert sorted(r.doc_id for r in simhash.distinct(docs).collect()) == sorted(set(least.values()))
 
 
+def test_keys_that_the_sample_does_not_know(spark, sf, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    rnd = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(100)) for _ in range(120)]
+    rows = [(k, f"{t[:200]} {passage} {t[200:]}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + [(500, rows[7][1] + " end")], "doc_id long, text string")
+    frequent = simhash._frequent(df)
+    keyed = simhash._keyed(df, 0.8, frequent).select("node", "t", "keys")
+    most = lambda held: held.selectExpr("max(count)").first()[0]
+    before = keyed.selectExpr("explode(keys) AS key").groupBy("key").count()
+    after, held = simhash._uncrowded(keyed, df, 0.8, frequent)
+    assert most(before) > 50 and most(held) <= 5 and after.count() == 121
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {k: k for k in range(120)} | {500: 7}
+    test_near_duplicates_against_brute_force(spark, sf)
+
+
 def test_rows_that_repeat_an_id(spark):
     a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
     rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "x"), (3, b + " end", "w"), (None, a, "n"), (None, a, "n")]
@@ -708,7 +727,11 @@ def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "pii", "packing"]
+    shared = _text.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     out = corpus_pipeline.run(spark, sf)
+    (made,) = set(os.listdir(shared)) - before
+    assert os.listdir(f"{shared}/{made}") == ["4"]  # only the last stage's rows are left
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     tables = spark.read.parquet(f"{sf}/documents.parquet")
     assert 0 < len(ids) < tables.count()
