@@ -25,6 +25,8 @@ from kinotable.llm import _text, packing
 
 #: Numbers in a slice of a table, and bytes of ids in a chunk, unless one text alone is longer.
 SLICE, CHUNK = 1 << 14, 4 << 20
+#: Ids that a vectorised step takes at once, unless one text alone is longer.
+IDS = 1 << 19
 #: Partial sums of a slice of unigram counts, so that no task gets one from every other.
 SALTS = 64
 #: Weight of the unigram model behind a bigram, and pseudo-count of each id in it.
@@ -42,18 +44,23 @@ def _keys(ids: np.ndarray, firsts: np.ndarray, vocabulary: int) -> tuple[np.ndar
     return before, (before.astype(np.uint64) << np.uint64(32) | ids).view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _kind(vocabulary: int) -> np.dtype:
+    """Of ids as they are written, packing.Encoder's: two bytes where the vocabulary allows."""
+    return np.dtype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)
+
+
+def _slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, ids of its texts one behind the other, and where each text's ids begin and end."""
     column = batch.column("ids").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    for lo, hi in _text.slices(offsets, 8 * _text.SLICE_BYTES):
-        yield lo, hi, data[offsets[lo] : offsets[hi]].view("<u4"), (offsets[lo : hi + 1] - offsets[lo]) // 4
+    for lo, hi in _text.slices(offsets, IDS * kind.itemsize):
+        yield lo, hi, data[offsets[lo] : offsets[hi]].view(kind), (offsets[lo : hi + 1] - offsets[lo]) // kind.itemsize
 
 
 def encoded(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, target (whether the id is among those of target(doc_id)), chunk and ids (binary, unsigned 32-bit little-endian) of docs(doc_id, text)."""
+    """doc_id, target (whether the id is among those of target(doc_id)), chunk and ids (binary, unsigned numbers of 16 bits, or 32 if the vocabulary needs them) of docs(doc_id, text)."""
     with open(path or packing.tokenizer_path()) as f:
         spec = f.read()
     sent = docs.sparkSession.sparkContext.broadcast((spec, packing.quick_merges(spec)))
@@ -61,7 +68,7 @@ def encoded(docs: DataFrame, target: DataFrame, path: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, chunk, held = packing.Encoder(*sent.value), TaskContext.get().partitionId() << 32, 0
         for batch in _text.parts(batches):
-            ids = [np.frombuffer(encode(t.as_py()), encode.dtype).astype("<u4").tobytes() for t in batch.column("text")]
+            ids = [encode(t.as_py()) for t in batch.column("text")]
             chunks = []
             for x in ids:
                 if held and held + len(x) > CHUNK:
@@ -110,13 +117,13 @@ def _repeats(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _counter(vocabulary: int):
-    size = vocabulary + 1
+    size, kind = vocabulary + 1, _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, size), np.int64)
         for batch in _text.parts(batches):
             target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, ids, at in _slices(batch):
+            for lo, hi, ids, at in _slices(batch, kind):
                 full = np.diff(at) > 0
                 own = np.repeat(target[lo:hi], np.diff(at))
                 for t, of, texts in ((0, slice(None), full), (1, own, full & target[lo:hi])):
@@ -134,6 +141,7 @@ def _counter(vocabulary: int):
 
 def _bigrams(vocabulary: int):
     """Counts a task's bigrams, chunk by chunk: all, and those of target texts."""
+    kind = _kind(vocabulary)
 
     def summed(chunk: int, pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
@@ -146,7 +154,7 @@ def _bigrams(vocabulary: int):
         now, pieces = None, []
         for batch in _text.parts(batches):
             target, chunks = batch.column("target").to_numpy(zero_copy_only=False).astype(bool), batch.column("chunk").to_numpy()
-            for lo, hi, ids, at in _slices(batch):
+            for lo, hi, ids, at in _slices(batch, kind):
                 long = np.diff(at)
                 if not len(ids):
                     continue
@@ -200,7 +208,7 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
 
     vocabulary = Tokenizer.from_file(path or packing.tokenizer_path()).get_vocab_size(with_added_tokens=True)
     rows = _text.settled(encoded(docs, target, path))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, vocabulary))
+    sent, kind = docs.sparkSession.sparkContext.broadcast(fit(rows, vocabulary)), _kind(vocabulary)
 
     parts = _text.settled(rows.select("target", "chunk", "ids").mapInArrow(_bigrams(vocabulary), "chunk long, key long, n long, m long"))
     sums = _text.settled(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
@@ -214,7 +222,7 @@ def score(docs: DataFrame, target: DataFrame, path: str | None = None) -> DataFr
         for batch in texts.to_batches():
             n, means = np.zeros(batch.num_rows, np.int64), np.full((2, batch.num_rows), np.nan)
             target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, ids, at in _slices(batch):
+            for lo, hi, ids, at in _slices(batch, kind):
                 n[lo:hi] = np.diff(at)
                 full = np.flatnonzero(n[lo:hi])
                 if len(full):
