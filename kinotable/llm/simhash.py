@@ -170,8 +170,13 @@ def heads(fps: DataFrame, distance: int, cut: list[tuple[int, int, int]]) -> Dat
     """Pairs (u, v) of fingerprints within the distance where v is the least or largest of those that lie where u asks: a few for each, however dense a group is."""
     asked, held = (fps.select("fp", F.explode(_ways(cut, side)).alias("at")) for side in (0, 1))
     ends = held.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-    met = asked.join(ends, "at").where("fp <> a OR fp <> b").select(F.col("fp").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    return met.where((F.col("u") != F.col("v")) & _near(F.col("u"), F.col("v"), distance)).distinct()
+
+    def linked(u: str, v: str) -> Column:
+        return (F.col(u) != F.col(v)) & _near(F.col(u), F.col(v), distance)
+
+    # told in the join, as most of those that meet in a bucket are far apart in the other bits
+    met = asked.join(ends, "at").where(linked("fp", "a") | linked("fp", "b"))
+    return met.select(F.col("fp").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v")).where(linked("u", "v")).distinct()
 
 
 def groups(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
