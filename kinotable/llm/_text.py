@@ -34,6 +34,9 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 #: Text bytes that a vectorised step takes at once, unless one text alone is longer.
 SLICE_BYTES = 1 << 19
 
+#: Has Spark remove the shuffle files of a query once it is done, which else stay until the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Where settled tables go within passing().
 _passing: ContextVar[str | None] = ContextVar("passing", default=None)
 
@@ -137,6 +140,23 @@ def passing(spark: SparkSession) -> Iterator[None]:
         removed(spark, folder)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """DataFrames that are made and run within it leave no shuffle files, so each runs once."""
+    old = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_TIDY) if old is None else spark.conf.set(_TIDY, old)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Removes what settled() or counted() wrote, of which nothing is read any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, folder)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that no later step or lost executor computes them again."""
     return counted(df)[0]
@@ -146,5 +166,6 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """As settled(), with the number of rows, which the writing tasks count."""
     spark, seen = df.sparkSession, Observation()
     path = f"{_passing.get() or shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    with tidy(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -38,6 +38,10 @@ EDGES = 1 << 20
 COMPARISONS = 50
 #: Ids that may be broadcast.
 BROADCAST_IDS = 250_000
+#: Bits by which tasks are told which texts are asked for: of each id, and in all (as a power of two).
+ASKED_BITS, MOST_BITS = 64, 28
+#: Pairs with one text that are compared in one place.
+TOGETHER = 200
 #: Bytes of words: all but blanks.
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
@@ -280,15 +284,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = NEAR_SHINGLE) ->
     return _text.mixed(out + np.repeat(np.minimum(n, size), made).astype(np.uint64)), at
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
-    """Of each text the sorted hashes of its distinct shingles and the SimHash of all its shingles."""
+def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As shingles(), a bounded number of texts at a time."""
     data, offsets = _text.utf8(column)
     for lo, hi in _text.slices(offsets):
         own = offsets[lo : hi + 1]
-        grams, at = shingles(data[own[0] : own[-1]], own - own[0])
+        yield shingles(data[own[0] : own[-1]], own - own[0])
+
+
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """Of each text the sorted hashes of its distinct shingles and the SimHash of all its shingles."""
+    for grams, at in _slices(column):
         ones = np.add.reduceat(np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at[:-1], axis=0, dtype=np.int32)
         fps = np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        for k in range(hi - lo):
+        for k in range(len(at) - 1):
             yield np.unique(grams[at[k] : at[k + 1]]), int(fps[k])
 
 
@@ -297,6 +306,19 @@ def _node(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """A bit for each remainder of the set's hashes by a power of two, at least as many as hashes: whether an odd number has it."""
+    m = 64 << max(0, ceil(len(grams) / 64) - 1).bit_length()
+    return np.packbits(np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """The least number of hashes that only one of the sets with these sketches can have: each makes one bit differ, or takes a difference back."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def _least(n: int, similarity: float) -> int:
     """Shingles that a set of n shares at least with one that is similar to it."""
     return max(1, ceil(similarity * n - 1e-9))
@@ -312,14 +334,15 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     share = F.lit(int(SAMPLE / max(SAMPLE, texts.count()) * (1 << 30)))
     some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share).dropDuplicates(["text"])
-    found = some.select("text").mapInArrow(run, "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toArrow()
+    with _text.tidy(texts.sparkSession):
+        found = some.select("text").mapInArrow(run, "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toArrow()
     grams, counts = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(grams)
     return grams[order], counts[order]
 
 
 def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual and keys of each row of texts(doc_id, text).
+    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual, sketch and keys of each row of texts(doc_id, text).
 
     Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
     least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
@@ -331,7 +354,7 @@ def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in _text.parts(batches):
-            fps, nodes, sizes, usual, keys = [], [], [], [], []
+            fps, nodes, sizes, usual, sketches, keys = [], [], [], [], [], []
             for grams, fp in _sets(batch.column("text")):
                 at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
                 often = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(len(grams), np.int64)
@@ -340,11 +363,12 @@ def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.n
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
                 usual.append(float(often.mean()))
+                sketches.append(_sketch(grams))
                 keys.append(grams[first].view(np.int64))
-            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "keys"])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "sketch", "keys"])
 
-    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, usual float, keys array<long>")
+    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, usual float, sketch binary, keys array<long>")
 
 
 def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
@@ -355,14 +379,16 @@ def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent:
     one for all texts, so every pair is still found. What takes a crowded key's place may be crowded in turn: hence rounds.
     """
     grams, counts = frequent[0], frequent[1].astype(np.float64)
-    room = FREQUENT
+    room, given = FREQUENT, nodes
     while True:
         held = _text.settled(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
         known = nodes.sparkSession.createDataFrame(pa.table({"key": grams.view(np.int64)}))
         crowd = held.where(F.col("count") > CROWD).join(F.broadcast(known), "key", "left_anti")
-        found = crowd.orderBy(F.desc("count"), "key").limit(room).toArrow() if room else None
+        with _text.tidy(nodes.sparkSession):
+            found = crowd.orderBy(F.desc("count"), "key").limit(room).toArrow() if room else None
         if not found:
             return nodes, held
+        _text.forgotten(held)
         room -= found.num_rows
         grams = np.concatenate([grams, found.column("key").to_numpy().view(np.uint64)])
         counts = np.concatenate([counts, 1 + found.column("count").to_numpy() / (1 << 53)])
@@ -370,15 +396,12 @@ def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent:
         grams, counts = grams[order], counts[order]
         moved = nodes.sparkSession.createDataFrame(found.select(["key"]))
         asked, n = _text.counted(nodes.select("t", F.explode("keys").alias("key")).join(F.broadcast(moved), "key", "left_semi").select("t").distinct())
-        again = texts.withColumn("t", F.xxhash64("text")).join(_few(asked, n), "t", "left_semi").dropDuplicates(["t"]).select("doc_id", "text")
-        keys = _keyed(again, similarity, (grams, counts)).select("node", F.col("keys").alias("other"))
-        nodes = _text.settled(nodes.join(keys, "node", "left").withColumn("keys", F.coalesce("other", "keys")).drop("other"))
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _text.parts(batches, 100):
-        sets = [grams for grams, _ in _sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
+        again = _asked(texts.select("doc_id", "text", F.xxhash64("text").alias("id")), asked, n)
+        keys = _keyed(again, similarity, (grams, counts)).groupBy("node", "t").agg(F.min("keys").alias("other"))
+        old, nodes = nodes, _text.settled(nodes.join(keys, ["node", "t"], "left").withColumn("keys", F.coalesce("other", "keys")).drop("other"))
+        _text.forgotten(asked)
+        if old is not given:
+            _text.forgotten(old)
 
 
 def _few(ids: DataFrame, n: int) -> DataFrame:
@@ -386,14 +409,92 @@ def _few(ids: DataFrame, n: int) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
+def _asked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows(id, ...) whose id, a hash, is one of the n in the one column of ids, and some others: one in ASKED_BITS, more as ids come near to 2**MOST_BITS. A bit for each first part of an id goes to every task, so that rows aren't shuffled. Equal ids are one row of those that a task sees."""
+    width = min(max((ASKED_BITS * n).bit_length(), 15), MOST_BITS)
+    place = ids.select(F.shiftrightunsigned(ids.columns[0], 64 - width).alias("p")).select(F.shiftright("p", 15).alias("at"), F.col("p").bitwiseAND(F.lit(32767).cast("bigint")).alias("p"))
+    with _text.tidy(rows.sparkSession):
+        parts = place.repartition("at").groupBy("at").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    bits = np.zeros((1 << (width - 15), 4096), np.uint8)
+    for at, part in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        bits[at] = np.frombuffer(part, np.uint8)
+    sent, kind = rows.sparkSession.sparkContext.broadcast(bits.ravel()), rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, seen = sent.value, set()
+        for batch in _text.parts(batches):
+            own = batch.column("id").to_numpy()
+            at = own.view(np.uint64) >> np.uint64(64 - width)
+            good = np.flatnonzero(told[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            good = [k for k in good.tolist() if (x := int(own[k])) not in seen and not seen.add(x)]
+            if good:
+                yield batch.take(pa.array(good, pa.int64()))
+
+    return rows.mapInArrow(run, kind)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd, a third of what their shingles take."""
+    for batch in _text.parts(batches):
+        texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
+        packed = [pa.compress(x, "zstd", asbytes=True) for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(packed, pa.large_binary())], ["id", "size", "text"])
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) but those whose sketches show that the sets aren't similar."""
+    own = nodes.select("node", "n", "sketch")
+    both = pairs.join(own.toDF("u", "n", "a"), "u").join(own.toDF("v", "m", "b"), "v").select("u", "v", (F.col("n") + F.col("m")).alias("n"), "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.parts(batches):
+            most = batch.column("n").to_numpy() * ((1 - similarity) / (1 + similarity)) + 1e-6
+            least = list(map(_apart, batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+            yield batch.select(["u", "v"]).filter(pa.array(np.array(least, np.int64) <= most))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words."""
-    asked, n = _text.counted(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t"), "node").select("t"))
-    wanted = texts.withColumn("t", F.xxhash64("text")).join(_few(asked, n), "t", "left_semi").dropDuplicates(["t"])
-    sets = _text.settled(wanted.select("text").mapInArrow(_shingle_sets, "node long, grams array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+    """The pairs (u, v) of nodes whose texts have Jaccard similarity of at least `similarity` on sets of NEAR_SHINGLE words.
+
+    What sketches leave is compared by the texts themselves. A pair meets at that of its two nodes that has more pairs,
+    so a text goes to few places; a place has about TOGETHER pairs.
+    """
+    pairs = _text.settled(_possible(pairs, nodes, similarity))
+    degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count()
+    both = pairs.join(degrees.toDF("u", "d"), "u").join(degrees.toDF("v", "e"), "v")
+    home, far = (F.when((F.col("d") >= F.col("e")) == first, F.col("u")).otherwise(F.col("v")) for first in (True, False))
+    part = F.pmod(F.xxhash64("far"), F.ceil(F.col("most") / TOGETHER))
+    both = both.select(home.alias("home"), far.alias("far"), F.greatest("d", "e").alias("most")).select("home", "far", part.alias("part"))
+    places = both.select("home", "part", F.explode(F.array("home", "far")).alias("node")).distinct()
+    places, n = _text.counted(places.join(nodes.select("node", F.col("own").alias("id")), "node"))
+    if not n:
+        return pairs
+    rows = texts.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("id"))
+    sent = _asked(rows, places.select("id"), n).mapInArrow(_packed, "id long, size long, text binary")
+    there = sent.join(F.broadcast(places) if 4 * n <= BROADCAST_IDS else places, "id")
+    there = there.select("home", "part", "node", "size", "text").repartition("home", "part").sortWithinPartitions("home", "part", F.col("node") != F.col("home"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one = None, None
+        for batch in _text.parts(batches, 100):
+            found, columns = [], [batch.column(x).to_pylist() for x in ("home", "node", "size", "text")]
+            texts = [pa.decompress(x, size, "zstd", asbytes=True) for size, x in zip(*columns[2:], strict=True)]
+            sets = (np.unique(grams[a:b]) for grams, at in _slices(pa.array(texts, pa.large_binary()).view(pa.large_string())) for a, b in zip(at, at[1:], strict=False))
+            for home, node, other in zip(*columns[:2], sets, strict=True):
+                if _node(other) != node:
+                    continue  # another text with the same hash
+                if node == home:
+                    now, one = home, other
+                elif now == home:
+                    shared = len(np.intersect1d(one, other, assume_unique=True))
+                    if shared >= similarity * (len(one) + len(other) - shared) - 1e-9:
+                        found.append((min(home, node), max(home, node)))
+            u, v = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return there.mapInArrow(run, "u long, v long")
 
 
 def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -401,17 +502,22 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = _frequent(texts)
     rows = _text.settled(_keyed(texts, similarity, frequent))
-    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))
-    nodes, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("keys").alias("keys"), F.min(own).alias("rep")))
+    rep, own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")), F.xxhash64("doc_id", "t")
+    given, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min(rep).alias("rep"), F.min(own).alias("own")))
+    keyed, rows = rows, _text.settled(rows.select("doc_id", "t", "node"))
+    _text.forgotten(keyed)
 
     def can(n: Column, at: Column, m: Column, other: Column) -> Column:
         """Whether sets of n and m that share a key at these places, but none before, can be similar."""
         return F.least(n - at, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     # keys that one node alone has lead nowhere
-    nodes, shared = _uncrowded(nodes, texts, similarity, frequent)
-    every = nodes.select("node", "n", "usual", F.posexplode("keys").alias("at", "key"))
+    keyed, shared = _uncrowded(given, texts, similarity, frequent)
+    every = keyed.select("node", "n", "usual", F.posexplode("keys").alias("at", "key"))
     members = _text.settled(every.join(shared.select("key"), "key").select("key", "node", "n", "usual", "at"))
+    nodes = _text.settled(keyed.drop("keys"))
+    for done in (given, keyed, shared):
+        _text.forgotten(done)
 
     # first, each node and the most usual nodes that it meets: by fingerprints, and by keys
     cut = segments(n)
@@ -439,7 +545,7 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     named = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("v", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("rep"))
-    return rows.select("doc_id", "t", "node"), _text.settled(named.select("node", "label").join(least, "label").select("node", "rep"))
+    return rows, _text.settled(named.select("node", "label").join(least, "label").select("node", "rep"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -270,6 +271,60 @@ def test_keys_that_the_sample_does_not_know(spark, sf, monkeypatch):
     test_near_duplicates_against_brute_force(spark, sf)
 
 
+def test_near_duplicates_keep_little_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)  # as where more texts are asked for than ids may be broadcast
+    rnd = random.Random(21)
+    rows = []
+    for k in range(300):  # groups of four near copies, of 1,000 words
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(1000)]
+        for j in range(4):
+            rows.append((4 * k + j, " ".join(words)))
+            words[rnd.randrange(1000)] = f"new{j}"
+    local = [d.toString() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shared = _text.shared_folder(spark).removeprefix("file:")
+
+    def held():
+        found = [(d, x) for top in (*local, shared) for d, _, names in os.walk(top) for x in names if top == shared or x.startswith("shuffle_")]
+        return {os.path.join(*f): os.path.getsize(os.path.join(*f)) for f in found if os.path.exists(os.path.join(*f))}
+
+    counted, before, most = _text.counted, held(), []
+
+    def watched(df):
+        out = counted(df)
+        time.sleep(0.2)  # files go in the background
+        most.append(sum(n for f, n in held().items() if f not in before))
+        return out
+
+    monkeypatch.setattr(_text, "counted", watched)
+    with _text.passing(spark):
+        kept = sorted(r.doc_id for r in simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
+    assert kept == list(range(0, 1200, 4))
+    assert max(most) < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_asked_rows(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.xxhash64(F.col("id") % 20_000).alias("id"), F.col("id").alias("x"))
+    ids = spark.range(0, 20_000, 100).select(F.xxhash64("id").alias("t"))
+    want = {r.t for r in ids.collect()}
+    got = [r.id for r in simhash._asked(rows.coalesce(1), ids, 200).collect()]
+    assert len(got) == len(set(got)) < 1000 and want <= set(got)
+    assert simhash._asked(rows, ids.where("false"), 0).count() == 0
+    monkeypatch.setattr(simhash, "MOST_BITS", 15)  # more others, but none less
+    assert want <= {r.id for r in simhash._asked(rows, ids, 200).collect()}
+
+
+def test_sketches_lose_no_similar_pair():
+    rnd = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rnd.integers(1, 3000))
+        a = rnd.integers(0, 2**64, n, np.uint64)
+        b = np.unique(np.concatenate([a[rnd.random(n) < rnd.random()], rnd.integers(0, 2**64, int(rnd.integers(1, max(2, n // 3))), np.uint64)]))
+        a = np.unique(a)
+        assert simhash._apart(simhash._sketch(a), simhash._sketch(b)) <= len(np.setxor1d(a, b))
+    far = [simhash._sketch(np.unique(rnd.integers(0, 2**64, 1000, np.uint64))) for _ in range(2)]
+    assert simhash._apart(*far) > 2000 * 0.2 / 1.8
+
+
 def test_rows_that_repeat_an_id(spark):
     a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
     rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "x"), (3, b + " end", "w"), (None, a, "n"), (None, a, "n")]
