@@ -15,16 +15,19 @@ from kinotable.llm import _text, decontaminate, langid, packing, pii, simhash
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts whose main language holds too few of their letters; fills in a missing lang."""
+    _text.short_batches(spark)
     return langid.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates: fingerprints within 4 bits (unverified, as in op2), or shingle sets 0.8 similar."""
+    _text.short_batches(spark)
     return simhash.distinct(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of texts and drops texts that are mostly such passages."""
+    _text.short_batches(spark)
     return decontaminate.clean(docs, _text.table(spark, sf_dir, "benchmark"))
 
 
@@ -35,6 +38,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their ids."""
+    _text.short_batches(spark)
     return packing.pack(docs)
 
 
@@ -52,7 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _text.table(spark, sf_dir, "documents")
     folder = f"{_text.shared_folder(spark)}/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        with _text.passing(spark):
+        with _text.passing(spark), _text.restored(spark, _text._BATCH):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         if k:
             _text.removed(spark, f"{folder}/{k - 1}")

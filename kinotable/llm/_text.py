@@ -37,6 +37,10 @@ SLICE_BYTES = 1 << 19
 #: Has Spark remove the shuffle files of a query once it is done, which else stay until the driver happens to collect its garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: About how many bytes Python workers get at once, where short_batches() was called; Spark's own limit is 10,000 rows, whose texts the executor and its workers hold several times over.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Where settled tables go within passing().
 _passing: ContextVar[str | None] = ContextVar("passing", default=None)
 
@@ -141,14 +145,27 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """DataFrames that are made and run within it leave no shuffle files, so each runs once."""
-    old = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+def restored(spark: SparkSession, key: str) -> Iterator[None]:
+    """A setting of the session is put back at the end."""
+    old = spark.conf.get(key, None)
     try:
         yield
     finally:
-        spark.conf.unset(_TIDY) if old is None else spark.conf.set(_TIDY, old)
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """DataFrames that are made and run within it leave no shuffle files, so each runs once."""
+    with restored(spark, _TIDY):
+        spark.conf.set(_TIDY, "true")
+        yield
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Python workers get batches of about BATCH_BYTES from now on, or of one row, unless the session has a limit of its own. It stays set, as rows are made only when they are read."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def forgotten(df: DataFrame) -> None:

@@ -11,7 +11,7 @@ finds every link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 from math import ceil, comb
 
@@ -341,15 +341,12 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
-def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual, sketch and keys of each row of texts(doc_id, text).
+_KEYED = "doc_id long, t long, fp long, node long, n int, usual float, sketch binary, keys array<long>"
 
-    Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
-    least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
-    leaves what many texts share to those that hold little else. usual: how frequent the text's shingles are on average;
-    of near copies, those with the fewest changes have the most. frequent: frequent shingles, sorted, and how frequent.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+
+def _keying(spark: SparkSession, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Callable:
+    """mapInArrow function of _keyed(), from rows (doc_id, t, text)."""
+    sent = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
@@ -368,7 +365,19 @@ def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.n
             columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "sketch", "keys"])
 
-    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fp long, node long, n int, usual float, sketch binary, keys array<long>")
+    return run
+
+
+def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual, sketch and keys of each row of texts(doc_id, text).
+
+    Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
+    least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
+    leaves what many texts share to those that hold little else. usual: how frequent the text's shingles are on average;
+    of near copies, those with the fewest changes have the most. frequent: frequent shingles, sorted, and how frequent.
+    """
+    run = _keying(texts.sparkSession, similarity, frequent)
+    return texts.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").mapInArrow(run, _KEYED)
 
 
 def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
@@ -396,8 +405,8 @@ def _uncrowded(nodes: DataFrame, texts: DataFrame, similarity: float, frequent:
         grams, counts = grams[order], counts[order]
         moved = nodes.sparkSession.createDataFrame(found.select(["key"]))
         asked, n = _text.counted(nodes.select("t", F.explode("keys").alias("key")).join(F.broadcast(moved), "key", "left_semi").select("t").distinct())
-        again = _asked(texts.select("doc_id", "text", F.xxhash64("text").alias("id")), asked, n)
-        keys = _keyed(again, similarity, (grams, counts)).groupBy("node", "t").agg(F.min("keys").alias("other"))
+        rows = texts.select("doc_id", "text", F.xxhash64("text").alias("id"), F.xxhash64("text").alias("t"))
+        keys = _asked(rows, asked, n, _keying(nodes.sparkSession, similarity, (grams, counts)), _KEYED).groupBy("node", "t").agg(F.min("keys").alias("other"))
         old, nodes = nodes, _text.settled(nodes.join(keys, ["node", "t"], "left").withColumn("keys", F.coalesce("other", "keys")).drop("other"))
         _text.forgotten(asked)
         if old is not given:
@@ -409,8 +418,8 @@ def _few(ids: DataFrame, n: int) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
-def _asked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows(id, ...) whose id, a hash, is one of the n in the one column of ids, and some others: one in ASKED_BITS, more as ids come near to 2**MOST_BITS. A bit for each first part of an id goes to every task, so that rows aren't shuffled. Equal ids are one row of those that a task sees."""
+def _asked(rows: DataFrame, ids: DataFrame, n: int, then: Callable | None = None, kind: str | None = None) -> DataFrame:
+    """The rows(id, ...) whose id, a hash, is one of the n in the one column of ids, and some others: one in ASKED_BITS, more as ids come near to 2**MOST_BITS. A bit for each first part of an id goes to every task, so that rows aren't shuffled. Equal ids are one row of those that a task sees. then: a mapInArrow function that makes rows of `kind` of these in the same worker; two such steps, one behind the other, take two workers in each task."""
     width = min(max((ASKED_BITS * n).bit_length(), 15), MOST_BITS)
     place = ids.select(F.shiftrightunsigned(ids.columns[0], 64 - width).alias("p")).select(F.shiftright("p", 15).alias("at"), F.col("p").bitwiseAND(F.lit(32767).cast("bigint")).alias("p"))
     with _text.tidy(rows.sparkSession):
@@ -418,7 +427,7 @@ def _asked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     bits = np.zeros((1 << (width - 15), 4096), np.uint8)
     for at, part in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist(), strict=True):
         bits[at] = np.frombuffer(part, np.uint8)
-    sent, kind = rows.sparkSession.sparkContext.broadcast(bits.ravel()), rows.schema
+    sent = rows.sparkSession.sparkContext.broadcast(bits.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, seen = sent.value, set()
@@ -430,7 +439,7 @@ def _asked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             if good:
                 yield batch.take(pa.array(good, pa.int64()))
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow((lambda batches: then(run(batches))) if then else run, kind or rows.schema)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,7 +481,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     if not n:
         return pairs
     rows = texts.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("id"))
-    sent = _asked(rows, places.select("id"), n).mapInArrow(_packed, "id long, size long, text binary")
+    sent = _asked(rows, places.select("id"), n, _packed, "id long, size long, text binary")
     there = sent.join(F.broadcast(places) if 4 * n <= BROADCAST_IDS else places, "id")
     there = there.select("home", "part", "node", "size", "text").repartition("home", "part").sortWithinPartitions("home", "part", F.col("node") != F.col("home"))
 
@@ -541,7 +550,7 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     rest = p.join(t, cross & can(F.col("p.n"), F.col("p.at"), F.col("t.n"), F.col("t.at"))).select(F.least("p.node", "t.node").alias("u"), F.greatest("p.node", "t.node").alias("v")).distinct()
     rest, n = _text.counted(rest)
     if n:
-        roots = stars(roots.unionByName(_similar(rest, nodes, texts, similarity)))
+        roots = stars(roots.unionByName(_text.settled(_similar(rest, nodes, texts, similarity))))
 
     named = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("v", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("rep"))

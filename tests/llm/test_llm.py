@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -313,6 +314,32 @@ def test_asked_rows(spark, monkeypatch):
     assert want <= {r.id for r in simhash._asked(rows, ids, 200).collect()}
 
 
+def test_a_task_has_one_python_worker(spark, sf, monkeypatch):
+    """Two Python steps in one stage have a worker each, and so twice the memory."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    counted, seen = _text.counted, []
+
+    def behind(node):
+        """Python steps one behind the other, with no exchange between them."""
+        below = max([0, *(behind(node.children().apply(k)) for k in range(node.children().size()))])
+        seen.append(below + any(x in node.nodeName() for x in ("Arrow", "Python")))
+        return 0 if "Exchange" in node.nodeName() else seen[-1]
+
+    def watched(df):
+        behind(df._jdf.queryExecution().executedPlan())
+        return counted(df)
+
+    monkeypatch.setattr(_text, "counted", watched)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that plans show exchanges before they run
+    try:
+        simhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert max(seen) == 1
+
+
 def test_sketches_lose_no_similar_pair():
     rnd = np.random.default_rng(2)
     for _ in range(300):
@@ -778,6 +805,23 @@ def test_packing_puts_like_texts_together(spark, sf):
 # pipeline
 
 
+def test_pipeline_hands_short_batches_to_python(spark, sf):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"), F.lit("en").alias("lang"))
+    for name in ("language_id", "near_duplicates", "decontamination", "packing"):
+        try:
+            dict(corpus_pipeline.STAGES)[name](spark, rows.limit(3), sf)
+            found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert max(found) < 5 << 20 and sum(found) > 40 << 20, name
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
