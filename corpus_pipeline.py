@@ -13,21 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from kinotable.llm import _text, decontaminate, langid, packing, pii, simhash
 
 
+def _ready(spark: SparkSession) -> None:
+    """Python workers get short batches, and the driver's Python keeps nothing of the stages before."""
+    _text.short_batches(spark)
+    _text.trimmed()
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts whose main language holds too few of their letters; fills in a missing lang."""
-    _text.short_batches(spark)
+    _ready(spark)
     return langid.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates: fingerprints within 4 bits (unverified, as in op2), or shingle sets 0.8 similar."""
-    _text.short_batches(spark)
+    _ready(spark)
     return simhash.distinct(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of texts and drops texts that are mostly such passages."""
-    _text.short_batches(spark)
+    _ready(spark)
     return decontaminate.clean(docs, _text.table(spark, sf_dir, "benchmark"))
 
 
@@ -38,7 +44,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their ids."""
-    _text.short_batches(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 

@@ -103,6 +103,11 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that this process doesn't use back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

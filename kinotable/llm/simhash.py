@@ -40,6 +40,8 @@ COMPARISONS = 50
 BROADCAST_IDS = 250_000
 #: Bits by which tasks are told which texts are asked for: of each id, and in all (as a power of two).
 ASKED_BITS, MOST_BITS = 64, 28
+#: Bits of the sketches by which a join tells pairs apart.
+SHORT_BITS = 512
 #: Pairs with one text that are compared in one place.
 TOGETHER = 200
 #: Bytes of words: all but blanks.
@@ -306,9 +308,9 @@ def _node(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
 
 
-def _sketch(grams: np.ndarray) -> bytes:
-    """A bit for each remainder of the set's hashes by a power of two, at least as many as hashes: whether an odd number has it."""
-    m = 64 << max(0, ceil(len(grams) / 64) - 1).bit_length()
+def _sketch(grams: np.ndarray, m: int | None = None) -> bytes:
+    """A bit for each remainder of the set's hashes by a power of two (m, else at least as many as hashes): whether an odd number has it."""
+    m = m or 64 << max(0, ceil(len(grams) / 64) - 1).bit_length()
     return np.packbits(np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
 
 
@@ -341,7 +343,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
-_KEYED = "doc_id long, t long, fp long, node long, n int, usual float, sketch binary, keys array<long>"
+_KEYED = "doc_id long, t long, fp long, node long, n int, usual float, sketch binary, short array<long>, keys array<long>"
 
 
 def _keying(spark: SparkSession, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Callable:
@@ -351,7 +353,7 @@ def _keying(spark: SparkSession, similarity: float, frequent: tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in _text.parts(batches):
-            fps, nodes, sizes, usual, sketches, keys = [], [], [], [], [], []
+            fps, nodes, sizes, usual, sketches, short, keys = [], [], [], [], [], [], []
             for grams, fp in _sets(batch.column("text")):
                 at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
                 often = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(len(grams), np.int64)
@@ -361,15 +363,16 @@ def _keying(spark: SparkSession, similarity: float, frequent: tuple[np.ndarray,
                 sizes.append(len(grams))
                 usual.append(float(often.mean()))
                 sketches.append(_sketch(grams))
+                short.append(np.frombuffer(_sketch(grams, SHORT_BITS), "<i8"))
                 keys.append(grams[first].view(np.int64))
-            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "sketch", "keys"])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(usual, pa.float32()), pa.array(sketches, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "fp", "node", "n", "usual", "sketch", "short", "keys"])
 
     return run
 
 
 def _keyed(texts: DataFrame, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual, sketch and keys of each row of texts(doc_id, text).
+    """doc_id, t (a hash of the text), fp, node, n (the size of its shingle set), usual, sketch, short (a sketch of SHORT_BITS) and keys of each row of texts(doc_id, text).
 
     Keys are the first shingles of the set, rare ones first, so many that two similar sets have one in common: n less the
     least number of shared shingles, and one more. Any order that is the same for all texts finds every pair; this one
@@ -512,7 +515,7 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     frequent = _frequent(texts)
     rows = _text.settled(_keyed(texts, similarity, frequent))
     rep, own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")), F.xxhash64("doc_id", "t")
-    given, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min(rep).alias("rep"), F.min(own).alias("own")))
+    given, n = _text.counted(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("usual").alias("usual"), F.min("sketch").alias("sketch"), F.min("short").alias("short"), F.min("keys").alias("keys"), F.min(rep).alias("rep"), F.min(own).alias("own")))
     keyed, rows = rows, _text.settled(rows.select("doc_id", "t", "node"))
     _text.forgotten(keyed)
 
@@ -544,9 +547,12 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     # then all that meet in a key and are still in two groups; most nodes of a key are in one
     named = members.join(roots, F.col("node") == F.col("u"), "left").select("key", "node", "n", "at", F.coalesce("v", "node").alias("label"))
     most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("key", "most")
-    named = _text.settled(named.join(most, "key"))
+    named = _text.settled(named.join(most, "key").join(nodes.select("node", "short"), "node"))
     p, t = named.where("label <> most").alias("p"), named.alias("t")
     cross = (F.col("p.key") == F.col("t.key")) & (F.col("p.label") != F.col("t.label")) & ((F.col("t.label") == F.col("t.most")) | (F.col("p.node") < F.col("t.node")))
+    # short sketches tell in the join, as most of those that meet in a key have little else in common, and in many keys at that
+    apart = sum((F.bit_count(F.get("p.short", F.lit(k)).bitwiseXOR(F.get("t.short", F.lit(k)))) for k in range(SHORT_BITS // 64)), F.lit(0))
+    cross = cross & (apart <= (1 - similarity) / (1 + similarity) * (F.col("p.n") + F.col("t.n")) + 1e-6)
     rest = p.join(t, cross & can(F.col("p.n"), F.col("p.at"), F.col("t.n"), F.col("t.at"))).select(F.least("p.node", "t.node").alias("u"), F.greatest("p.node", "t.node").alias("v")).distinct()
     rest, n = _text.counted(rest)
     if n:

@@ -348,6 +348,7 @@ def test_sketches_lose_no_similar_pair():
         b = np.unique(np.concatenate([a[rnd.random(n) < rnd.random()], rnd.integers(0, 2**64, int(rnd.integers(1, max(2, n // 3))), np.uint64)]))
         a = np.unique(a)
         assert simhash._apart(simhash._sketch(a), simhash._sketch(b)) <= len(np.setxor1d(a, b))
+        assert simhash._apart(simhash._sketch(a, 512), simhash._sketch(b, 512)) <= len(np.setxor1d(a, b))
     far = [simhash._sketch(np.unique(rnd.integers(0, 2**64, 1000, np.uint64))) for _ in range(2)]
     assert simhash._apart(*far) > 2000 * 0.2 / 1.8
 
